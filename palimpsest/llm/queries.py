@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, mixing
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op1_decontaminate(s, d):
     return decontaminate.contamination(_table(s, d, "documents"), _table(s, d, "benchmark"))
 
 
+@_query(mixing.sql())
+def op9_mixing(s, d):
+    return mixing.mix(_table(s, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
