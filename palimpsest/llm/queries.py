@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, mixing
+from palimpsest.llm import decontaminate, mixing, warc
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op9_mixing(s, d):
     return mixing.mix(_table(s, d, "documents"))
 
 
+@_query()
+def op6_warc(s, d):
+    return warc.round_trip(_table(s, d, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
