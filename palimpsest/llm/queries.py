@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, mixing, warc
+from palimpsest.llm import decontaminate, fingerprint, mixing, warc
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op6_warc(s, d):
     return warc.round_trip(_table(s, d, "pages"))
 
 
+@_query()
+def op10_fingerprint(s, d):
+    return fingerprint.fingerprints(_table(s, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
