@@ -57,20 +57,22 @@ def _numbered(kmers: Column) -> Column:
     """Packed hashes of (k-mer, number of its occurrence) with their positions, in no order."""
 
     def of(s: Column) -> Column:
-        last = F.size(s) - 1
-        starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (_hash(F.get(s, i)) != _hash(F.get(s, i - 1))))
+        indices = F.sequence(F.lit(0), F.size(s) - 1)
+        value = lambda i, n: _packed(F.xxhash64(_hash(F.get(s, i)), n), F.get(s, i).bitwiseAND(F.lit(_LOW)))
+        like_last = lambda i: _hash(F.get(s, i)) == _hash(F.get(s, i - 1))  # noqa: E731  null at 0
+        like_next = lambda i: _hash(F.get(s, i)) == _hash(F.get(s, i + 1))  # noqa: E731  null at the end
 
-        def runs(st: Column) -> Column:
-            def run(a: Column, r: Column) -> Column:
-                end = F.coalesce(F.get(st, r + 1), F.size(s))
-                one = lambda i: _packed(F.xxhash64(_hash(F.get(s, i)), i - a), F.get(s, i).bitwiseAND(F.lit(_LOW)))
-                return F.when(end - a == 1, F.array(one(a))).otherwise(F.transform(F.sequence(a, end - 1), one))
+        def runs(again: Column) -> Column:
+            """again: indices of later occurrences. Where a run of equal k-mers starts and ends, in step with each other."""
+            starts = F.filter(again, lambda i: ~F.coalesce(like_last(i - 1), F.lit(False)))
+            ends = F.filter(again, lambda i: ~F.coalesce(like_next(i), F.lit(False)))
+            return F.flatten(F.zip_with(starts, ends, lambda a, b: F.transform(F.sequence(a, b), lambda i: value(i, i - a + 1))))
 
-            return F.flatten(F.transform(st, run))
+        firsts = F.transform(F.filter(indices, lambda i: ~F.coalesce(like_last(i), F.lit(False))), lambda i: value(i, F.lit(0)))
+        later = let(F.filter(indices, lambda i: F.coalesce(like_last(i), F.lit(False))), runs)
+        return F.when(F.size(s) > 0, F.concat(firsts, later)).otherwise(s)
 
-        return F.when(last >= 0, let(starts, runs)).otherwise(s)
-
-    return let(F.array_sort(F.transform(kmers, _packed)), of)
+    return let(F.sort_array(F.transform(kmers, _packed)), of)
 
 
 def signature(text: Column, k: int = K) -> Column:
@@ -96,7 +98,7 @@ def signature(text: Column, k: int = K) -> Column:
 
         return let(least, tuples)
 
-    return let(F.array_sort(_numbered(_kmers(words, k))), of)
+    return let(F.sort_array(_numbered(_kmers(words, k))), of)
 
 
 def as_text(sig: Column) -> Column:
@@ -127,11 +129,14 @@ def _buckets(docs: DataFrame, rows: int, most: int) -> tuple[Column, DataFrame]:
     # The number of bounds that are not above the id, by halving steps over an array that ends in the largest number.
     padded = F.array(*[F.lit(x).cast("bigint") for x in bounds + [(1 << 63) - 1] * (size - len(bounds))])
 
+    def halving(b: Column, step: int) -> Callable[[Column], Column]:
+        return lambda p: F.when(F.get(b, p + (step - 1)) <= oid, p + step).otherwise(p)
+
     def search(b: Column) -> Column:
         at, step = F.lit(0), size
         while step > 1:
             step //= 2
-            at = let(at, lambda p, s=step: F.when(F.get(b, p + (s - 1)) <= oid, p + s).otherwise(p))
+            at = let(at, halving(b, step))
         return at
 
     bucket = (-search(padded)).cast("int") if bounds else F.lit(0)

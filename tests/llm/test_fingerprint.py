@@ -85,3 +85,10 @@ def test_order_matters(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = P.fingerprints(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_buckets_are_even_ranges(spark):
+    docs = spark.range(1000).selectExpr("id * id AS doc_id")
+    bucket, table = P._buckets(docs, 10, 1000)
+    counts = [r["count"] for r in docs.groupBy(bucket).count().collect()]
+    assert len(counts) == table.count() > 80 and max(counts) < 20
