@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
+from palimpsest.llm.shared import Shipped
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id long, item_id string, doc_start long, item_start long, n_words long"
@@ -190,8 +191,7 @@ def _report(batch: pa.RecordBatch, shipped: list, size: int, min_items: int) ->
 
 
 def _ship(docs: DataFrame, items: DataFrame, size: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(b) for b in blocks(items, size)]
+    return [Shipped(docs.sparkSession, b) for b in blocks(items, size)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, size: int = 8, min_items: int = 2) -> DataFrame:

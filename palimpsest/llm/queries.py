@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, fingerprint, mixing, warc
+from palimpsest.llm import decontaminate, fingerprint, minhash, mixing, quality, toxicity, warc
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,21 @@ def op10_fingerprint(s, d):
     return fingerprint.fingerprints(_table(s, d, "documents"))
 
 
+@_query()
+def op2_toxicity(s, d):
+    return toxicity.score(_table(s, d, "documents"), _table(s, d, "labels"))
+
+
+@_query()
+def op3_quality(s, d):
+    return quality.score(_table(s, d, "documents"), _table(s, d, "labels"))
+
+
+@_query()
+def op8_minhash(s, d):
+    return minhash.groups(_table(s, d, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -41,3 +43,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Shipped:
+    """An object broadcast with its classes by value, which broadcasts alone send by name."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
