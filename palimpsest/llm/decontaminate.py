@@ -96,7 +96,7 @@ class Block:
     at_start: np.ndarray
 
 
-def _block(rows: list[tuple[str, str]], size: int) -> Block:
+def _block(rows: list[tuple[str, str]], size: int, min_words: int) -> Block:
     ids = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(ids)}
     raw = pa.array([r[1] for r in rows], pa.large_string())
@@ -108,7 +108,7 @@ def _block(rows: list[tuple[str, str]], size: int) -> Block:
     for i in range(len(rows)):
         mine = h[wo[i] : wo[i + 1]]
         m = min(size, len(mine))
-        for j in range(len(mine) - m + 1 if m else 0):
+        for j in range(len(mine) - m + 1 if m and len(mine) >= min_words else 0):
             found.setdefault(m, []).append((mine[j : j + m], number[rows[i][0]], j))
     windows, base, at, total = {}, {}, ([], [], []), 0
     for m, xs in sorted(found.items()):
@@ -122,17 +122,17 @@ def _block(rows: list[tuple[str, str]], size: int) -> Block:
     return Block(ids, windows, base, *(x[order] for x in z))
 
 
-def blocks(items: DataFrame, size: int = 8, block_words: int = 1_000_000) -> Iterator[Block]:
+def blocks(items: DataFrame, size: int = 8, block_words: int = 1_000_000, min_words: int = 1) -> Iterator[Block]:
     """The test items as blocks of about block_words words; one pass over the items, a block in memory at a time."""
     rows, n = [], 0
     for r in items.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         rows.append((r[0], r[1]))
         n += len(r[1]) // 2 + 1
         if n >= block_words:
-            yield _block(rows, size)
+            yield _block(rows, size, min_words)
             rows, n = [], 0
     if rows:
-        yield _block(rows, size)
+        yield _block(rows, size, min_words)
 
 
 def _occurrences(sa: SuffixArray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +190,8 @@ def _report(batch: pa.RecordBatch, shipped: list, size: int, min_items: int) ->
     return out
 
 
-def _ship(docs: DataFrame, items: DataFrame, size: int) -> list:
-    return [Shipped(docs.sparkSession, b) for b in blocks(items, size)]
+def _ship(docs: DataFrame, items: DataFrame, size: int, min_words: int = 1) -> list:
+    return [Shipped(docs.sparkSession, b) for b in blocks(items, size, min_words=min_words)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, size: int = 8, min_items: int = 2) -> DataFrame:
@@ -215,9 +215,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = 8, min_items
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 8, min_items: int = 2) -> DataFrame:
-    """The documents that contamination() does not call contaminated, with all their columns; in one pass, no exchange."""
-    shipped = _ship(docs, items, size)
+def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 8, min_items: int = 2, min_words: int = 1) -> DataFrame:
+    """The documents that contamination() does not call contaminated, with all their columns; in one pass, no exchange.
+    Items of fewer than min_words words are not searched."""
+    shipped = _ship(docs, items, size, min_words)
 
     def run(batches):
         for batch in batches:

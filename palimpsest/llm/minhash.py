@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
-from palimpsest.llm.components import components
+from palimpsest.llm.links import grouped, membership
 from palimpsest.llm.shared import stash
 
 HASHES, POOL, BITS = 256, 128, 4
@@ -55,13 +55,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _set_hash(g: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return W.mix(np.add.reduceat(W.mix(g), start) + W.mix(sizes.astype(np.uint64)))
+
+
 def _signatures(g: np.ndarray, at: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set hash, packed low bits, band keys) of the texts that have shingles."""
     full = np.flatnonzero(np.diff(at))
     start = at[:-1][full]
     if not len(full):
         return np.zeros(0, np.uint64), np.zeros((0, LONGS), np.uint64), np.zeros((0, POOL // rows), np.uint64)
-    sets = W.mix(np.add.reduceat(W.mix(g), start) + W.mix(np.diff(at)[full].astype(np.uint64)))
+    sets = _set_hash(g, start, np.diff(at)[full])
     packed = np.zeros((len(full), LONGS), np.uint64)
     bands = np.zeros((len(full), POOL // rows), np.uint64)
     for i in range(HASHES):
@@ -89,29 +93,28 @@ def _sketched(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sig array<long>, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, set) of each text."""
+def _sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the nodes asked for. A filter of their hashes picks the texts, so no text is shuffled."""
+    wanted = membership(asked)
 
     def run(batches):
         for batch in batches:
-            data, off = W.buffers(batch.column(0))
-            for i, j in W.slices(off, 1 << 20):
-                g, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                full = np.flatnonzero(np.diff(at))
-                if len(full):
-                    start = at[:-1][full]
-                    sets = W.mix(np.add.reduceat(W.mix(g), start) + W.mix(np.diff(at)[full].astype(np.uint64)))
-                    ends = np.append(start, len(g)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(g)))], ["node", "set"])
+            data, off = W.buffers(batch.column(1))
+            pick = np.flatnonzero(wanted.value(batch.column(0).to_numpy(zero_copy_only=False)))
+            for r in pick:
+                g, at = shingles(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]), k)
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(_set_hash(g, at[:1], at[1:]))), pa.array([_signed(g)], pa.list_(pa.int64()))], ["node", "set"])
 
-    return docs.select("text").mapInArrow(run, "node long, set array<long>")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(ids.alias("doc_id"), "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def _estimate(a: str, b: str) -> Column:
+def _estimate(a: Column, b: Column) -> Column:
     """Similarity of two packed signatures, corrected for low bits that agree by chance."""
     differ = F.lit(0)
     for i in range(LONGS):
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
@@ -142,42 +145,18 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     sketched = stash(_sketched(docs, k, rows), "minhash")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     nodes = stash(nodes, "minhash-nodes")
-    member = nodes.select("node", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = stash(member.join(shared, "key"), "minhash-buckets")  # only nodes that meet another
-    meets = member.groupBy("node").agg(F.sum("c").alias("meets"))
-    ranked = member.select("key", "node").join(meets, "node")
-    lead = ranked.groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("lead"))
-    stars = ranked.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     sd = float(np.sqrt((percent / 100) * (1 - percent / 100 + 1 / 16) / HASHES) / (15 / 16))
     least = percent / 100 - 5 * sd
-    sig = nodes.select("node", "sig", "n")
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x"), F.col("n").alias("na")), "a")
-        p = p.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y"), F.col("n").alias("nb")), "b")
-        return p.where((F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")) & (_estimate("x", "y") >= least)).select("a", "b")
+    def near(x: Column, y: Column) -> Column:
+        return (F.least(x["n"], y["n"]) * 100 >= percent * F.greatest(x["n"], y["n"])) & (_estimate(x["sig"], y["sig"]) >= least)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs, "minhash-pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = asked.join(nodes.select("node", "doc"), "node")
-        wanted = asked.select(F.col("doc").alias("wanted")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
-        sets = _sets(texts, k).dropDuplicates(["node"])
-        return stash(_linked(pairs, sets, percent), "minhash-links")
-
-    first = confirm(plausible(stars))
-    label = components(first)
-    within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    within = within.join(mixed, "key").join(sig, "node")
-    a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x"), F.col("n").alias("na"))
-    b = within.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y"), F.col("n").alias("nb"))
-    near = (F.col("ra") < F.col("rb")) & (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")) & (_estimate("x", "y") >= least)
-    cross = a.join(b, (a["key"] == b["key"]) & near).select("a", "b").distinct()
-    second = confirm(cross)
-    label = components(first.unionByName(second))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+        return _linked(pairs, _sets(docs, asked.select(F.coalesce("doc", F.lit(-(1 << 63)))), k), percent)
+
+    member = nodes.select("node", F.explode("bands").alias("key"))
+    label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash")
     node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least_doc = node.groupBy("root").agg(F.min("doc").alias("component_id"))
     node = node.join(least_doc, "root").select("node", "component_id")

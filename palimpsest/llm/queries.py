@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, fingerprint, minhash, mixing, quality, toxicity, warc
+from palimpsest.llm import decontaminate, fingerprint, linededup, minhash, mixing, quality, toxicity, warc
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +62,16 @@ def op8_minhash(s, d):
     return minhash.groups(_table(s, d, "documents"), k=3, percent=85)
 
 
+@_query()
+def op4_linededup(s, d):
+    return linededup.report(_table(s, d, "documents"))
+
+
+@_query(corpus_pipeline.ORACLE_SQL)
+def pipeline(s, d):
+    return corpus_pipeline.run(s, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
