@@ -158,7 +158,7 @@ def _expand(block: Block, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shards(batch: pa.RecordBatch, size: int):
     data, off = W.buffers(batch.column(batch.schema.get_field_index("text")))
-    for a, b in W.slices(off):
+    for a, b in W.slices(off, 1 << 20):
         part = W.LOWER[data[off[a] : off[b]]]
         s, e, wo = W.spans(part, off[a : b + 1] - off[a], W.ALNUM)
         yield a, b, wo, SuffixArray(W.hashes(part, s, e), wo, size)

@@ -29,11 +29,6 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    c = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return (c[off[1:]] - c[off[:-1]]).astype(float)
-
-
 def text_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Shares of kinds of characters, of distinct words, pairs and lines, and sizes of words and lines."""
     s, e, wo = W.spans(data, off, W.NON_SPACE)
@@ -52,14 +47,14 @@ def text_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     line[10] = False
     ls, le, lo = W.spans(data, off, line)
     lines = np.maximum(np.diff(lo), 1)
-    signs = np.concatenate([[0], np.cumsum(_SIGN[data])])
+    signs = W.counts(_SIGN[data])
     ends = (signs[e] - signs[s] >= 2) & (e > s)
     alone = (signs[e] - signs[s]) == e - s
-    upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
+    upper = W.counts(_UPPER[data])
     caps = (upper[e] - upper[s] >= 2) & (upper[e] - upper[s] >= (e - s) / 2)
-    cols = [np.log1p(np.diff(wo)), _sums(_UPPER[data], off) / size, _sums(_DIGIT[data], off) / size, _sums(_SIGN[data], off) / size, _sums(data >= 128, off) / size]
+    cols = [np.log1p(np.diff(wo)), W.sums(_UPPER[data], off) / size, W.sums(_DIGIT[data], off) / size, W.sums(_SIGN[data], off) / size, W.sums(data >= 128, off) / size]
     cols += [distinct(h, row) / n, distinct(pairs[ok], row[: len(pairs)][ok]) / n, distinct(W.hashes(data, ls, le), W.row_of(lo)) / lines]
-    cols += [np.diff(off) / n, np.log1p(np.diff(lo)), n / lines, _sums(ends, wo) / n, _sums(alone, wo) / n, _sums(caps, wo) / n]
+    cols += [np.diff(off) / n, np.log1p(np.diff(lo)), n / lines, W.sums(ends, wo) / n, W.sums(alone, wo) / n, W.sums(caps, wo) / n]
     return np.stack(cols, axis=1)
 
 

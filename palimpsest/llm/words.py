@@ -52,8 +52,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most limit bytes, or of one row: what one pass of arrays is made for."""
+def slices(off: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most limit bytes, or of one row: what one pass of arrays is made for. Small, so that arrays stay in
+    the processor's cache and their memory is used again: fresh pages cost more than the work on them."""
     a = 0
     while a < len(off) - 1:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
@@ -123,3 +124,15 @@ def within_rows(word_off: np.ndarray, n: int, total: int) -> np.ndarray:
 def row_of(word_off: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(len(word_off) - 1), np.diff(word_off))
+
+
+def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags are set between each two offsets."""
+    return np.diff(np.searchsorted(np.flatnonzero(flags), off)).astype(float)
+
+
+def counts(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each index, and in all."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
