@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, fingerprint, linededup, minhash, mixing, quality, toxicity, warc
+from palimpsest.llm import ctw, decontaminate, fingerprint, linededup, minhash, mixing, quality, substrings, toxicity, warc
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +67,16 @@ def op4_linededup(s, d):
     return linededup.report(_table(s, d, "documents"))
 
 
+@_query()
+def op7_ctw(s, d):
+    return ctw.scores(_table(s, d, "documents"))
+
+
+@_query()
+def op5_substrings(s, d):
+    return substrings.dedup(_table(s, d, "documents")).drop("kept")
+
+
 @_query(corpus_pipeline.ORACLE_SQL)
 def pipeline(s, d):
     return corpus_pipeline.run(s, d)
