@@ -34,14 +34,17 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     stars = stars.join(features.select(F.col("node").alias("a"), F.col("f").alias("x")), "a")
     stars = stars.join(features.select(F.col("node").alias("b"), F.col("f").alias("y")), "b").where(near(F.col("x"), F.col("y")))
     first = stash(confirm(stash(stars.select("a", "b"), f"{name}-pairs")), f"{name}-links")
-    within = member.select("key", "node").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    label = stash(components(first), f"{name}-first")
+    within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     within = within.join(mixed, "key").join(features, "node")
     a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"))
     b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"))
     cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & near(F.col("x"), F.col("y"))).select("a", "b").distinct()
-    second = stash(confirm(stash(cross, f"{name}-pairs")), f"{name}-links")
-    return components(first.unionByName(second))
+    cross = stash(cross, f"{name}-pairs")
+    if not cross.head(1):
+        return label
+    return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stash(confirm(cross), f"{name}-links")))
 
 
 def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
