@@ -130,6 +130,7 @@ def add_batch(index: Index, batch: DataFrame, history: DataFrame) -> DataFrame:
     index.add(fps)
     rows = stash(rows, "windows")
     first = rows.groupBy("w", "v").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stash(first, "repeats")  # a table of its own: the join can then split a window that has very many rows
     again = rows.where("new").join(first, ["w", "v"]).where(F.struct("id", "start") != F.col("first"))
     return again.groupBy("id").agg(F.collect_set("start").alias("starts"))
 
