@@ -16,13 +16,17 @@ from palimpsest.llm.shared import Shipped, stash
 FILTER_BITS = 1 << 26
 
 
-def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of nodes over confirmed links: (node, root) of the nodes that have a link.
 
     member: (key, node), distinct; only nodes of one key are compared. features: (node, f), a struct that near() compares, cheaply
     and without losing a link; confirm() takes pairs (a, b) and returns those that are links. In each bucket all nodes are
     compared with its leader, the one that meets most others in all its buckets; then, only where a bucket still holds several
     components, nodes of different ones are compared with each other. Within a component no further link is looked for.
+
+    held: a function from nodes to (node, full), null or absent for nodes that are too large, and the test of two such values. The last
+    comparison then makes that test where it meets the nodes, and gives out links alone: a large group whose members are alike, but
+    not enough, would leave pairs by the square of its size to confirm. Pairs of nodes that are too large are confirmed as ever.
     """
     dealt = member.repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -38,13 +42,25 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     within = within.join(mixed, "key").join(features, "node")
-    a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"))
-    b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"))
-    cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & near(F.col("x"), F.col("y"))).select("a", "b").distinct()
-    cross = stash(cross, f"{name}-pairs")
+    test = F.lit(True)
+    if held:
+        within = stash(within, f"{name}-mixed")
+        full = stash(held[0](within.select("node").distinct()), f"{name}-full")
+        within = within.join(full, "node", "left")
+        unsure = F.col("s").isNull() | F.col("t").isNull()
+        test = unsure | held[1](F.col("s"), F.col("t"))
+    else:
+        within, unsure = within.withColumn("full", F.lit(None).cast("long")), F.lit(True)
+    a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"), F.col("full").alias("s"))
+    b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"), F.col("full").alias("t"))
+    cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & near(F.col("x"), F.col("y")) & test)
+    cross = stash(cross.select("a", "b", unsure.alias("unsure")).distinct(), f"{name}-pairs")
     if not cross.head(1):
         return label
-    return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stash(confirm(cross), f"{name}-links")))
+    more, rest = cross.where("NOT unsure").select("a", "b"), cross.where("unsure").select("a", "b")
+    if rest.head(1):
+        more = more.unionByName(stash(confirm(rest), f"{name}-links"))
+    return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

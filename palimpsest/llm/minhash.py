@@ -21,6 +21,8 @@ from palimpsest.llm.shared import stash
 
 HASHES, POOL, BITS = 256, 128, 4
 LONGS = HASHES * BITS // 64
+#: Sets of at most so many shingles are compared where their nodes meet; pairs with a larger one are looked up afterwards.
+SMALL = 2048
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -126,8 +128,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return two.withColumn("c", common).where(F.col("c") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b")
+    return two.where(_alike(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether 100 * intersection >= percent * union, said by the intersection alone so that it is made once."""
+    return F.size(F.array_intersect(a, b)) * (100 + percent) >= percent * (F.size(a) + F.size(b))
 
 
 def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -151,12 +157,20 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     def near(x: Column, y: Column) -> Column:
         return (F.least(x["n"], y["n"]) * 100 >= percent * F.greatest(x["n"], y["n"])) & (_estimate(x["sig"], y["sig"]) >= least)
 
+    def sets(asked: DataFrame) -> DataFrame:
+        asked = asked.join(nodes.select("node", "doc"), "node")
+        return _sets(docs, asked.select(F.coalesce("doc", F.lit(-(1 << 63)))), k)
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
-        return _linked(pairs, _sets(docs, asked.select(F.coalesce("doc", F.lit(-(1 << 63)))), k), percent)
+        return _linked(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
+
+    def small(asked: DataFrame) -> DataFrame:
+        asked = asked.join(nodes.where(F.col("n") <= SMALL).select("node"), "node")
+        return sets(asked).where(F.size("set") <= SMALL).select("node", F.col("set").alias("full"))
 
     member = nodes.select("node", F.explode("bands").alias("key"))
-    label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash")
+    held = (small, lambda x, y: _alike(x, y, percent))
+    label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash", held)
     node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least_doc = node.groupBy("root").agg(F.min("doc").alias("component_id"))
     node = node.join(least_doc, "root").select("node", "component_id")
