@@ -16,7 +16,7 @@ from palimpsest.llm.shared import Shipped, stash
 FILTER_BITS = 1 << 26
 
 
-def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None, keys: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of nodes over confirmed links: (node, root) of the nodes that have a link.
 
     member: (key, node), distinct; only nodes of one key are compared. features: (node, f), a struct that near() compares, cheaply
@@ -27,6 +27,8 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     held: a function from nodes to (node, full), null or absent for nodes that are too large, and the test of two such values. The last
     comparison then makes that test where it meets the nodes, and gives out links alone: a large group whose members are alike, but
     not enough, would leave pairs by the square of its size to confirm. Pairs of nodes that are too large are confirmed as ever.
+    keys: (node, g), g holding all keys of a node, and the first key that two such values share, so that two nodes that meet often are
+    compared once.
     """
     dealt = member.repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -42,7 +44,12 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     within = within.join(mixed, "key").join(features, "node")
-    test = F.lit(True)
+    once = test = F.lit(True)
+    if keys:
+        within = within.join(keys[0], "node")
+        once = F.col("key") == keys[1](F.col("g"), F.col("h"))
+    else:
+        within = within.withColumn("g", F.lit(None).cast("long"))
     if held:
         within = stash(within, f"{name}-mixed")
         full = stash(held[0](within.select("node").distinct()), f"{name}-full")
@@ -51,9 +58,9 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
         test = unsure | held[1](F.col("s"), F.col("t"))
     else:
         within, unsure = within.withColumn("full", F.lit(None).cast("long")), F.lit(True)
-    a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"), F.col("full").alias("s"))
-    b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"), F.col("full").alias("t"))
-    cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & near(F.col("x"), F.col("y")) & test)
+    a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"), F.col("full").alias("s"), "g")
+    b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"), F.col("full").alias("t"), F.col("g").alias("h"))
+    cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & once & near(F.col("x"), F.col("y")) & test)
     cross = stash(cross.select("a", "b", unsure.alias("unsure")).distinct(), f"{name}-pairs")
     if not cross.head(1):
         return label

@@ -169,8 +169,10 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
         return sets(asked).where(F.size("set") <= SMALL).select("node", F.col("set").alias("full"))
 
     member = nodes.select("node", F.explode("bands").alias("key"))
+    bands = range(POOL // rows)
+    first = lambda g, h: F.coalesce(*[F.when(F.get(g, F.lit(i)) == F.get(h, F.lit(i)), F.get(g, F.lit(i))) for i in bands])
     held = (small, lambda x, y: _alike(x, y, percent))
-    label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash", held)
+    label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash", held, (nodes.select("node", F.col("bands").alias("g")), first))
     node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least_doc = node.groupBy("root").agg(F.min("doc").alias("component_id"))
     node = node.join(least_doc, "root").select("node", "component_id")
