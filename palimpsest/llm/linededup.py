@@ -1,15 +1,15 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to their lower-cased words of letters, digits and non-ASCII code points; equal ones are one node. A node's
-64-bit SimHash over its words is cut into BLOCKS blocks; two hashes that differ in at most BLOCKS - KEYED bits agree on some
-KEYED of them, so joining on every choice of KEYED blocks finds each such pair. Pairs are verified by the edit similarity of
-their normalised text, and of each connected group of lines the first occurrence stays.
+Lines are normalised to their lower-cased words of letters, digits and non-ASCII code points; equal ones are one node. Two nodes
+are linked if the edit distance of their normalised texts is small against the longer one; of each connected group of lines the
+first occurrence stays. Pairs to compare meet in bands of one-permutation MinHash: of word pairs and 5-byte grams, and of 4-byte grams
+where a line has at most SHORT characters. A pair is met with the chance 1 - (1 - J^r)^b at resemblance J, b bands of r minima; what is met
+is decided by the edit distance alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,12 @@ from palimpsest.llm import words as W
 from palimpsest.llm.links import grouped, membership
 from palimpsest.llm.shared import stash
 
-BLOCKS, KEYED = 5, 2
-#: Bits in which SimHashes of linked lines may differ: every choice of more leaves fewer than KEYED blocks untouched.
-DISTANCE = BLOCKS - KEYED
-_EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+#: (bytes of a gram or 0 for word pairs, minima in a band, bands) of lines that are long, and of short ones.
+LONG, BRIEF = ((0, 3, 14), (5, 5, 10)), ((4, 3, 24),)
+#: Characters up to which both lines of a pair are short. Lines a little shorter than that have the bands of both.
+SHORT = 64
+#: Bits in which the SimHashes of linked lines may differ where a caller limits them.
+DISTANCE = 3
 
 _LINE = np.ones(256, bool)
 _LINE[10] = False
@@ -45,35 +47,120 @@ def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, at
 
 
-def _nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, node, SimHash, words) of the lines of at least `least` words."""
+def _nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, node, words) of the lines of at least `least` words, and hash, start and end of their words in the lower-cased data."""
     low = W.LOWER[data]
     edge = np.append(starts, len(data))
     s, e, wo = W.spans(low, np.unique(np.concatenate([[0], edge])), W.ALNUM)
     h = W.hashes(low, s, e)
     a, b = np.searchsorted(s, starts), np.searchsorted(s, ends)
-    long = np.flatnonzero(b - a >= least)
+    long = np.flatnonzero(b - a >= max(least, 1))
     if not len(long):
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, h[:0], z, z, low
     a, b = a[long], b[long]
     n = b - a
     inside = np.zeros(len(h) + 1, np.int64)
     np.add.at(inside, a, 1)
     np.add.at(inside, b, -1)
-    h = h[np.cumsum(inside[:-1]) > 0]
+    keep = np.cumsum(inside[:-1]) > 0
+    h = h[keep]
     at = np.cumsum(n) - n
     place = np.arange(len(h)) - np.repeat(at, n)
     node = W.mix(np.add.reduceat(W.mix(h + W.mix(place.astype(np.uint64))), at) + n.astype(np.uint64))
-    sim = np.zeros(len(long), np.uint64)
-    for i in range(64):
+    return long, node.view(np.int64), n, h, s[keep], e[keep], low
+
+
+def _simhash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    at, sim = np.cumsum(n) - n, np.zeros(len(n), np.uint64)
+    for i in range(64 if len(n) else 0):
         ones = np.add.reduceat((h >> np.uint64(i)).astype(np.uint8) & 1, at, dtype=np.int64)
         sim |= (2 * ones > n).astype(np.uint64) << np.uint64(i)
-    return long, node.view(np.int64), sim.view(np.int64), n
+    return sim.view(np.int64)
+
+
+def _wordless(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, node) of the lines that have no word but are not blank: their bytes without white space around."""
+    s, e, wo = W.spans(data, np.append(starts, len(data)), W.NON_SPACE)
+    words = np.searchsorted(np.flatnonzero(W.ALNUM[W.LOWER[data]]), np.stack([starts, ends]))
+    line = np.flatnonzero((np.diff(wo) > 0) & (words[0] == words[1]))
+    if not len(line):
+        return line, line
+    h = W.hashes(data, s[wo[line]], e[wo[line + 1] - 1])
+    return line, W.mix(h ^ np.uint64(0x27D4EB2F165667C5)).view(np.int64)
+
+
+def _plain(n: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lines with a space before each and after the last, and where each line begins."""
+    size, line = e - s, np.repeat(np.arange(len(n)), n)
+    before = np.cumsum(size) - size
+    to = before + np.arange(len(s)) + 1 + line
+    step = np.arange(int(size.sum()))
+    buf = np.full(len(step) + len(s) + len(n), 32, np.uint8)
+    buf[np.repeat(to - before, size) + step] = low[np.repeat(s - before, size) + step]
+    return buf, np.append(to[np.cumsum(n) - n] - 1, len(buf))
+
+
+def _bands(h: np.ndarray, row: np.ndarray, rows: int, seed: int, r: int, b: int) -> np.ndarray:
+    """(rows, b): keys of bands of r minima of the features h of rows; every row has one. An empty bin takes the next one's minimum."""
+    m = r * b
+    v = W.mix(h ^ np.uint64(seed))
+    cell = row.astype(np.uint64) * np.uint64(m) + ((v >> np.uint64(32)) * np.uint64(m) >> np.uint64(32))
+    code = np.sort(cell << np.uint64(32) | (v & np.uint64(0xFFFFFFFF)))
+    cell = code >> np.uint64(32)
+    first = np.append(True, cell[1:] != cell[:-1])
+    least = np.zeros((rows, m), np.uint64)
+    found = np.zeros((rows, m), bool)
+    least.ravel()[cell[first].astype(np.int64)] = code[first] & np.uint64(0xFFFFFFFF)
+    found.ravel()[cell[first].astype(np.int64)] = True
+    here = np.where(found, np.arange(m), 2 * m)
+    of = np.minimum.accumulate(np.concatenate([here, here + m], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :m] % m
+    least = np.take_along_axis(least, of, 1) | of.astype(np.uint64) << np.uint64(32)
+    key = np.broadcast_to(W.mix(np.arange(b, dtype=np.uint64) + np.uint64(seed)), (rows, b)).copy()
+    for i in range(r):
+        key = W.mix(key ^ least[:, i * b : (i + 1) * b])
+    return key.view(np.int64)
+
+
+def _features(size: int, n: np.ndarray, h: np.ndarray, buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of lines and the line of each: pairs of neighbouring words with the line's ends, or grams of `size` bytes."""
+    if not size:
+        at = np.cumsum(n + 2) - (n + 2)
+        ext = np.full(int((n + 2).sum()), 0x51ED270B7F2C3A19, np.uint64)
+        ext[np.arange(len(h)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = h
+        pairs = W.ngrams(ext, 2)
+        keep = np.ones(len(ext), bool)
+        keep[at + n + 1] = False
+        return pairs[keep[:-1]], np.repeat(np.arange(len(n)), n + 1)
+    length = np.diff(begin)
+    c = np.maximum(length - size + 1, 1)
+    row = np.repeat(np.arange(len(n)), c)
+    place = np.arange(len(row)) + np.repeat(begin[:-1] - (np.cumsum(c) - c), c)
+    lanes = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))
+    return lanes[place] & W._MASK[np.minimum(begin[row + 1] - place, size)], row
+
+
+def _keys(n: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Characters of the normalised lines, and (lines, keys of their bands) of the long and of the short ones."""
+    buf, begin = _plain(n, s, e, low)
+    chars = np.add.reduceat(((buf & 0xC0) != 0x80).astype(np.int64), begin[:-1]) - 2
+    out = []
+    for k, (kinds, mine) in enumerate(((LONG, chars * 100 >= SHORT * percent), (BRIEF, chars <= SHORT))):
+        pick = np.flatnonzero(mine)
+        if not len(pick):
+            continue
+        number = np.cumsum(mine) - 1
+        parts = []
+        for i, (size, r, b) in enumerate(kinds):
+            f, row = _features(size, n, h, buf, begin)
+            keep = mine[row]
+            parts.append(_bands(f[keep], number[row[keep]], len(pick), 0x9E3779B1 * (2 * k + i + 1), r, b))
+        out.append((pick, np.concatenate(parts, axis=1)))
+    return chars, out
 
 
 def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(node, sim, n, doc_id, line) of lines; within a text's repeats only the first, and the others as line and `again`."""
+    """(node, doc_id, line) of lines."""
 
     def run(batches):
         for batch in batches:
@@ -82,11 +169,41 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
             for i, j in W.slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 starts, ends, at = _lines(part, o)
-                line, node, sim, n = _nodes(part, starts, ends, least)
+                line, node, *_ = _nodes(part, starts, ends, least)
+                if least < 1:
+                    more, other = _wordless(part, starts, ends)
+                    line, node = np.append(line, more), np.append(node, other)
                 row = np.searchsorted(at, line, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sim), pa.array(n), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row])], ["node", "sim", "n", "doc_id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row])], ["node", "doc_id", "line"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, doc_id long, line long")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sim long, n long, doc_id long, line long")
+
+def _members(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
+    """(node, chars, sim, keys) of nodes with words, a node of both lengths in two rows; sim is 0 where bits is None."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = W.buffers(batch.column(0))
+            for i, j in W.slices(off):
+                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                starts, ends, _ = _lines(part, o)
+                _, node, n, h, s, e, low = _nodes(part, starts, ends, least)
+                if not len(node):
+                    continue
+                _, once = np.unique(node, return_index=True)
+                mine = np.zeros(len(node), bool)
+                mine[once] = True
+                words = np.repeat(mine, n)
+                node, n, h, s, e = node[mine], n[mine], h[words], s[words], e[words]
+                sim = _simhash(h, n) if bits is not None else np.zeros(len(n), np.int64)
+                chars, found = _keys(n, h, s, e, low, percent)
+                for pick, keys in found:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(chars[pick]), pa.array(sim[pick]), lists], ["node", "chars", "sim", "keys"])
+
+    found = docs.select("text").mapInArrow(run, "node long, chars long, sim long, keys array<long>")
+    return found.withColumn("first", F.col("keys")[0]).dropDuplicates(["node", "first"]).drop("first")
 
 
 def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
@@ -99,7 +216,7 @@ def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
             for i, j in W.slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 starts, ends, _ = _lines(part, o)
-                line, node, _, _ = _nodes(part, starts, ends, least)
+                line, node, *_ = _nodes(part, starts, ends, least)
                 pick = np.flatnonzero(wanted.value(node))
                 _, once = np.unique(node[pick], return_index=True)
                 pick = pick[once]
@@ -110,36 +227,27 @@ def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def _keys(sim: Column) -> Column:
-    """A key for every choice of KEYED blocks."""
-    out = []
-    for c, chosen in enumerate(combinations(range(BLOCKS), KEYED)):
-        mask = sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.xxhash64(F.lit(c), sim.bitwiseAND(F.lit(mask))))
-    return F.array(*out)
-
-
-def removals(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFrame:
+def removals(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from a document."""
     occ = stash(_occurrences(docs, least), "lines")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "line")
-    nodes = occ.groupBy("node").agg(F.any_value("sim").alias("sim"), F.any_value("n").alias("n"), F.min(order).alias("first"), F.count("*").alias("c"))
-    nodes = stash(nodes, "line-nodes")
+    nodes = stash(occ.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c")), "line-nodes")
+    found = stash(_members(docs, least, percent, bits), "line-keys")
 
     def near(x: Column, y: Column) -> Column:
-        return F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= DISTANCE
+        alike = F.abs(x["chars"] - y["chars"]) * 100 <= F.greatest(x["chars"], y["chars"]) * (100 - percent)
+        return alike if bits is None else alike & (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= bits)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         text = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), least)
         p = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         longest = F.greatest(F.char_length("ta"), F.char_length("tb"))
-        within = F.floor(longest * (100 - percent) / 100).cast("int")
-        p = p.withColumns({"most": within}).where(F.abs(F.char_length("ta") - F.char_length("tb")) <= F.col("most"))
-        return p.where(F.expr("CASE WHEN most = 0 THEN ta = tb ELSE levenshtein(ta, tb) <= most END")).select("a", "b")
+        p = p.withColumn("most", F.floor(longest * (100 - percent) / 100).cast("int"))
+        return p.where(F.expr("CASE WHEN most = 0 THEN ta = tb ELSE levenshtein(ta, tb, most) >= 0 END")).select("a", "b")
 
-    member = nodes.select("node", F.explode(_keys(F.col("sim"))).alias("key"))
-    label = grouped(member, nodes.select("node", F.struct("sim").alias("f")), near, confirm, "lines")
+    member = found.select("node", F.explode("keys").alias("key"))
+    features = found.select("node", F.struct("chars", "sim").alias("f")).dropDuplicates(["node"])
+    label = grouped(member, features, near, confirm, "lines")
     linked = nodes.join(label, "node", "left").select("node", "first", "c", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     firsts = linked.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
     keep = linked.where("c > 1 OR fuzzy").join(firsts, "root", "left").select("node", F.coalesce("keep", "first").alias("keep"))
@@ -147,17 +255,18 @@ def removals(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFrame
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _cut(docs: DataFrame, least: int, percent: int) -> DataFrame:
-    gone = removals(docs, least=least, percent=percent).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
+def _cut(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
+    gone = removals(docs, least=least, percent=percent, bits=bits).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
 
 
-def dedup_lines(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
     """The documents without repeated lines, with all their columns; n_chars, where there is one, is that of the new text.
 
-    Lines are cut at line feeds and compared by their normalised words (see above). Lines of fewer than `least` words stay.
-    Two lines are linked if they are equal, or if their SimHashes differ in at most DISTANCE bits and their edit distance is
-    at most 100 - percent per cent of the longer one. Of each connected group the occurrence with the smallest (doc_id, line)
+    Lines are cut at line feeds and compared by their normalised words (see above). Lines of fewer than `least` words stay; with 0,
+    lines without a word but not blank are compared too, as they are. Two lines are linked if they are equal, or if their edit
+    distance is at most 100 - percent per cent of the longer one and, unless bits is None, their SimHashes differ in at most that
+    many bits. Of each connected group the occurrence with the smallest (doc_id, line)
     stays. Every document stays, with an empty text if all its lines went; a null text stays null. Null ids come last; rows of
     one id count as one document, so of repeated rows all keep or lose a line together.
     """
@@ -176,10 +285,10 @@ def dedup_lines(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFr
                 cols[size] = pa.array([len(t) if g else o for t, g, o in zip(new, gone, old, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return _cut(docs, least, percent).mapInArrow(run, docs.schema)
+    return _cut(docs, least, percent, bits).mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFrame:
+def report(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that dedup_lines() leaves; a null text is empty, and has no lines)."""
 
     def run(batches):
@@ -193,4 +302,4 @@ def report(docs: DataFrame, *, least: int = 5, percent: int = 80) -> DataFrame:
             )
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _cut(d, least, percent).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _cut(d, least, percent, bits).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

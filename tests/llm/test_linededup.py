@@ -87,3 +87,39 @@ def test_edge_cases(spark):
     assert L.report(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, base), (1, base), (0, "a")], "doc_id long, text string")
     assert {r.n_removed for r in L.report(twice).collect()} == {0}
+
+
+def test_links_by_edit_similarity_alone(spark):
+    """A tenth of the words changed, one at least, in lines of 6 to 30 words is found, whatever their SimHashes."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    data, want = [], {}
+    for i, n in enumerate([6, 8, 10, 10, 15, 20, 20, 30, 30, 30]):
+        w = [words[x] for x in rng.choice(400, n, replace=False)]
+        new = w.copy()
+        for x in rng.choice(n, max(1, n // 10), replace=False):
+            new[x] = "qqqqqq"
+        a, b = " ".join(w), " ".join(new)
+        assert distance(a, b) * 5 <= max(len(a), len(b))
+        data += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i: 0, 2 * i + 1: 1}
+    far = [(100 + i, " ".join(words[x] for x in rng.choice(400, 12, replace=False))) for i in range(20)]
+    df = spark.createDataFrame(data + far, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in L.report(df, bits=None).collect()}
+    assert got == want | {d: 0 for d, _ in far}
+
+
+def test_most_similar_lines_are_met(spark):
+    """On real lines, the bands meet nearly all pairs within the edit distance."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    names = sorted({" ".join(w) for r in docs for x in r.text.split("\n") for w in (norm(x),) if w and len(" ".join(w)) < 400}, key=len)
+    data, off = W.buffers(pa.array(["\n".join(names)]))
+    line, _, n, h, s, e, low = L._nodes(data, *L._lines(data, off)[:2], 1)
+    assert len(line) == len(names)
+    keys = [set() for _ in names]
+    for pick, k in L._keys(n, h, s, e, low, 80)[1]:
+        for i, row in zip(pick, k.tolist()):
+            keys[i].update(row)
+    bags = [{x[i : i + 4] for i in range(len(x) - 3)} for x in names]
+    alike = [(i, j) for j in range(len(names)) for i in range(j) if len(names[i]) * 5 >= len(names[j]) * 4 and len(bags[i] & bags[j]) * 3 >= len(bags[j]) > 0 and distance(names[i], names[j]) * 5 <= len(names[j])]
+    assert len(alike) > 20 and sum(not keys[i].isdisjoint(keys[j]) for i, j in alike) >= 0.95 * len(alike)
