@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that stand elsewhere; no document is dropped."""
-    return linededup.dedup_lines(docs, bits=None)
+    """Without lines that stand elsewhere, short ones too; blank lines stay, and no document is dropped."""
+    return linededup.dedup_lines(docs, least=0, bits=None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

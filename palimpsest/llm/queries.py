@@ -64,7 +64,7 @@ def op8_minhash(s, d):
 
 @_query()
 def op4_linededup(s, d):
-    return linededup.report(_table(s, d, "documents"), bits=None)
+    return linededup.report(_table(s, d, "documents"), least=0, bits=None)
 
 
 @_query()

@@ -123,3 +123,9 @@ def test_most_similar_lines_are_met(spark):
     bags = [{x[i : i + 4] for i in range(len(x) - 3)} for x in names]
     alike = [(i, j) for j in range(len(names)) for i in range(j) if len(names[i]) * 5 >= len(names[j]) * 4 and len(bags[i] & bags[j]) * 3 >= len(bags[j]) > 0 and distance(names[i], names[j]) * 5 <= len(names[j])]
     assert len(alike) > 20 and sum(not keys[i].isdisjoint(keys[j]) for i, j in alike) >= 0.95 * len(alike)
+
+
+def test_short_lines(spark):
+    data = [(1, "short one\n- - -\nä"), (2, "Short, one!\n---\nä\n \n- - -"), (3, "ä\n\n \n"), (None, "short one")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(df, least=0, bits=None).collect()} == {1: data[0][1], 2: "---\n ", 3: "\n \n", None: ""}
