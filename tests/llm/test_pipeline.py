@@ -26,3 +26,9 @@ def test_each_stage_on_its_own_input(spark, sf):
     assert after.keys() == {d for d, _, _, n, _, _ in leaks(list(before.items()), items) if not n}
     mixed = P.mix_sources(spark, docs, sf).collect()
     assert {r.doc_id for r in mixed} == after.keys() and all(r.copies <= 3 for r in mixed)
+
+
+def test_short_benchmark_items_are_searched(spark, tmp_path):
+    spark.createDataFrame([("a", "four words of benchmark"), ("b", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "it holds four words of benchmark inside"), (2, "it holds four words of the benchmark"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {2, 3}
