@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import stash
+from palimpsest.llm.shared import scratch, stash
 
 #: Edges that a task contracts at once.
 CHUNK = 200_000
@@ -56,19 +56,21 @@ def components(edges: DataFrame) -> DataFrame:
     is no loop, root being the component's smallest node. Each round is written to the shared folder; a node's neighbours are
     only ever reduced to their minimum, with partial aggregation, so a node may have any number of them. First, tasks contract the edges
     they hold, in bounded chunks; where that joins all there is, one round confirms it."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = stash(_contracted(e), "edges")
-    state = _state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        e = stash(small, "edges")
-        new = _state(e)
-        if new == state:
-            break
-        state = new
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with scratch(edges.sparkSession):
+        e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        e = stash(_contracted(e), "edges")
+        state = _state(e)
+        while True:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a")
+            small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+            e = stash(small, "edges")
+            new = _state(e)
+            if new == state:
+                break
+            state = new
+        out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        return stash(out, "components", keep=True)

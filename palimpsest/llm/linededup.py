@@ -2,33 +2,33 @@
 
 Lines are normalised to their lower-cased words of letters, digits and non-ASCII code points; equal ones are one node. Two nodes
 are linked if the edit distance of their normalised texts is small against the longer one; of each connected group of lines the
-first occurrence stays. Pairs to compare meet in bands of one-permutation MinHash: of word pairs and 5-byte grams, and of 4-byte grams
-where a line has at most SHORT characters. A pair is met with the chance 1 - (1 - J^r)^b at resemblance J, b bands of r minima; what is met
-is decided by the edit distance alone.
+first occurrence stays. SimHashes of lines a fifth of whose characters differ are 10 to 20 bits apart, too far for blocks of a pigeonhole:
+so pairs to compare meet in ANCHORS minima of word triples, taken from as many parts of the hash's range and preferring long triples,
+which are rare, and short lines in bands of 4-byte grams too. A pair that has met is dropped if its lengths, or the SimHashes of its word
+pairs, differ too much; the rest is decided by the edit distance alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
+from palimpsest.llm.edits import close
 from palimpsest.llm.links import grouped, membership
-from palimpsest.llm.shared import stash
+from palimpsest.llm.shared import free, scratch, stash
 
-#: (bytes of a gram or 0 for word pairs, minima in a band, bands) of lines that are long, and of short ones.
-LONG, BRIEF = ((0, 3, 14), (5, 5, 10)), ((4, 3, 24),)
-#: Characters up to which both lines of a pair are short. Lines a little shorter than that have the bands of both.
-SHORT = 64
+#: Minima of word triples of a line, and (bytes of a gram, minima in a band, bands) that lines of at most SHORT characters have beside.
+ANCHORS, BRIEF, SHORT = 6, (4, 2, 8), 48
 #: Bits in which the SimHashes of linked lines may differ where a caller limits them.
 DISTANCE = 3
+#: Bits in which SimHashes of word pairs may differ for a pair to be compared, where one of its lines has more than SIFTED characters.
+SIFT, SIFTED = 20, 64
 
-_LINE = np.ones(256, bool)
-_LINE[10] = False
+#: Stands for a null id, which comes last.
+_LAST = (1 << 63) - 1
 
 
 def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,45 +122,61 @@ def _bands(h: np.ndarray, row: np.ndarray, rows: int, seed: int, r: int, b: int)
     return key.view(np.int64)
 
 
-def _features(size: int, n: np.ndarray, h: np.ndarray, buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of lines and the line of each: pairs of neighbouring words with the line's ends, or grams of `size` bytes."""
-    if not size:
-        at = np.cumsum(n + 2) - (n + 2)
-        ext = np.full(int((n + 2).sum()), 0x51ED270B7F2C3A19, np.uint64)
-        ext[np.arange(len(h)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = h
-        pairs = W.ngrams(ext, 2)
-        keep = np.ones(len(ext), bool)
-        keep[at + n + 1] = False
-        return pairs[keep[:-1]], np.repeat(np.arange(len(n)), n + 1)
+def _word_grams(n: np.ndarray, h: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k words in a row with a mark on either side of each line: their hashes, lines and bytes."""
+    m = n + 2
+    at = np.cumsum(m) - m
+    ext, bytes_ = np.full(int(m.sum()) + k, 0x51ED270B7F2C3A19, np.uint64), np.zeros(int(m.sum()) + k, np.int64)
+    place = np.arange(len(h)) + 2 * np.repeat(np.arange(len(n)), n) + 1
+    ext[place], bytes_[place] = h, size
+    c = np.maximum(m - k + 1, 1)
+    row = np.repeat(np.arange(len(n)), c)
+    place = np.arange(len(row)) + np.repeat(at - (np.cumsum(c) - c), c)
+    total = np.append(0, np.cumsum(bytes_))
+    return W.ngrams(ext, k)[place], row, total[place + k] - total[place]
+
+
+def _byte_grams(begin: np.ndarray, buf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(begin)
     c = np.maximum(length - size + 1, 1)
-    row = np.repeat(np.arange(len(n)), c)
+    row = np.repeat(np.arange(len(length)), c)
     place = np.arange(len(row)) + np.repeat(begin[:-1] - (np.cumsum(c) - c), c)
     lanes = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))
     return lanes[place] & W._MASK[np.minimum(begin[row + 1] - place, size)], row
 
 
+def _anchors(n: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(lines, ANCHORS) keys: the first of each part by length, then by hash; a part without a triple repeats another's."""
+    g, row, length = _word_grams(n, h, size, 3)
+    v = W.mix(g ^ np.uint64(0x9E3779B1))
+    rank = v & np.uint64(0xFFFFFF) | (np.clip(24 - length, 0, 15) // 3).astype(np.uint64) << np.uint64(24)
+    cell = row.astype(np.uint64) * np.uint64(ANCHORS) + ((v >> np.uint64(32)) * np.uint64(ANCHORS) >> np.uint64(32))
+    code = np.sort(cell << np.uint64(32) | rank)
+    cell = code >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    found = np.zeros((len(n), ANCHORS), np.uint64)
+    cell = cell[first].astype(np.int64)
+    found.ravel()[cell] = W.mix(code[first] & np.uint64(0xFFFFFFFF) | (cell % ANCHORS + 1).astype(np.uint64) << np.uint64(34))
+    return np.where(found == 0, found.max(axis=1, keepdims=True), found).view(np.int64)
+
+
 def _keys(n: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Characters of the normalised lines, and (lines, keys of their bands) of the long and of the short ones."""
+    """Characters of the normalised lines, and (lines, keys) of all and of the short ones."""
     buf, begin = _plain(n, s, e, low)
     chars = np.add.reduceat(((buf & 0xC0) != 0x80).astype(np.int64), begin[:-1]) - 2
-    out = []
-    for k, (kinds, mine) in enumerate(((LONG, chars * 100 >= SHORT * percent), (BRIEF, chars <= SHORT))):
-        pick = np.flatnonzero(mine)
-        if not len(pick):
-            continue
-        number = np.cumsum(mine) - 1
-        parts = []
-        for i, (size, r, b) in enumerate(kinds):
-            f, row = _features(size, n, h, buf, begin)
-            keep = mine[row]
-            parts.append(_bands(f[keep], number[row[keep]], len(pick), 0x9E3779B1 * (2 * k + i + 1), r, b))
-        out.append((pick, np.concatenate(parts, axis=1)))
+    out = [(np.arange(len(n)), _anchors(n, h, e - s))]
+    mine = chars <= SHORT
+    if mine.any():
+        size, r, b = BRIEF
+        f, row = _byte_grams(begin, buf, size)
+        keep = mine[row]
+        out.append((np.flatnonzero(mine), _bands(f[keep], (np.cumsum(mine) - 1)[row[keep]], int(mine.sum()), 0x2545F491, r, b)))
     return chars, out
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(node, doc_id, line) of lines."""
+def _occurrences(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
+    """(node, doc_id, line, chars, sim, keys) of lines; keys are null where the same line has stood shortly before, and where there
+    are no words. sim: of single words where bits limits the links, else of pairs."""
 
     def run(batches):
         for batch in batches:
@@ -169,85 +185,110 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
             for i, j in W.slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 starts, ends, at = _lines(part, o)
-                line, node, *_ = _nodes(part, starts, ends, least)
+                line, node, n, h, s, e, low = _nodes(part, starts, ends, least)
+                _, once = np.unique(node, return_index=True)
+                mine = np.zeros(len(node), bool)
+                mine[once] = True
+                words = np.repeat(mine, n)
+                n, h, s, e = n[mine], h[words], s[words], e[words]
+                chars, sim, lists = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+                flat = np.zeros(0, np.int64)
+                if len(n):
+                    grams, row = (h, np.repeat(np.arange(len(n)), n)) if bits is not None else _word_grams(n, h, e - s, 2)[:2]
+                    sim[mine] = _simhash(grams, np.bincount(row, minlength=len(n)))
+                    chars[mine], found = _keys(n, h, s, e, low, percent)
+                    owner = np.concatenate([np.repeat(pick, k.shape[1]) for pick, k in found])
+                    flat = np.concatenate([k.ravel() for _, k in found])
+                    order = np.lexsort((flat, owner))
+                    owner, flat = owner[order], flat[order]
+                    new = np.append(True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1]))
+                    owner, flat = owner[new], flat[new]
+                    lists[mine] = np.bincount(owner, minlength=len(n))
                 if least < 1:
                     more, other = _wordless(part, starts, ends)
                     line, node = np.append(line, more), np.append(node, other)
+                    z = np.zeros(len(more), np.int64)
+                    chars, sim, lists, mine = np.append(chars, z), np.append(sim, z), np.append(lists, z), np.append(mine, z > 0)
                 row = np.searchsorted(at, line, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(node), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row])], ["node", "doc_id", "line"])
+                offsets = pa.array(np.append(0, np.cumsum(lists)).astype(np.int32), mask=np.append(~mine, False))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row]), pa.array(chars), pa.array(sim), pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                    ["node", "doc_id", "line", "chars", "sim", "keys"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, doc_id long, line long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, doc_id long, line long, chars long, sim long, keys array<long>")
 
 
-def _members(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
-    """(node, chars, sim, keys) of nodes with words, a node of both lengths in two rows; sim is 0 where bits is None."""
+def _spot(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number of a line's place, by its document and number."""
+    return W.mix(W.mix(ids.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            data, off = W.buffers(batch.column(0))
-            for i, j in W.slices(off):
-                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                starts, ends, _ = _lines(part, o)
-                _, node, n, h, s, e, low = _nodes(part, starts, ends, least)
-                if not len(node):
-                    continue
-                _, once = np.unique(node, return_index=True)
-                mine = np.zeros(len(node), bool)
-                mine[once] = True
-                words = np.repeat(mine, n)
-                node, n, h, s, e = node[mine], n[mine], h[words], s[words], e[words]
-                sim = _simhash(h, n) if bits is not None else np.zeros(len(n), np.int64)
-                chars, found = _keys(n, h, s, e, low, percent)
-                for pick, keys in found:
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(chars[pick]), pa.array(sim[pick]), lists], ["node", "chars", "sim", "keys"])
 
-    found = docs.select("text").mapInArrow(run, "node long, chars long, sim long, keys array<long>")
-    return found.withColumn("first", F.col("keys")[0]).dropDuplicates(["node", "first"]).drop("first")
+def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """(node, text) of the lines asked for, normalised; asked: (node, d, line), d the id or _LAST. A filter of their places picks the
+    lines, so that the other ones are not read word by word and no document is shuffled."""
 
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_spot(*(batch.column(i).to_numpy() for i in (0, 1))))], ["place"])
 
-def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """(node, text) of the lines asked for, normalised."""
-    wanted = membership(asked)
+    wanted = membership(asked.select("d", "line").mapInArrow(places, "place long"), asked.count())
 
     def run(batches):
         for batch in batches:
-            data, off = W.buffers(batch.column(0))
-            for i, j in W.slices(off):
+            ids = batch.column(0).to_numpy()
+            data, off = W.buffers(batch.column(1))
+            for i, j in W.slices(off, 1 << 20):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                starts, ends, _ = _lines(part, o)
-                line, node, *_ = _nodes(part, starts, ends, least)
-                pick = np.flatnonzero(wanted.value(node))
-                _, once = np.unique(node[pick], return_index=True)
-                pick = pick[once]
-                plain = np.where(W.ALNUM[W.LOWER[part]], W.LOWER[part], 32).astype(np.uint8).tobytes()
-                out = [b" ".join(plain[starts[x] : ends[x]].split()).decode() for x in line[pick]]
-                yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(out, pa.string())], ["node", "text"])
+                starts, ends, at = _lines(part, o)
+                row = np.repeat(np.arange(j - i), np.diff(at))
+                pick = np.flatnonzero(wanted.value(_spot(ids[i + row], np.arange(len(row)) - at[row])))
+                if not len(pick):
+                    continue
+                size = ends[pick] - starts[pick]
+                to = np.append(0, np.cumsum(size + 1))
+                took = np.full(to[-1], 10, np.uint8)
+                inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                took[np.repeat(to[:-1], size) + inside] = part[np.repeat(starts[pick], size) + inside]
+                line, node, n, _, s, e, low = _nodes(took, to[:-1], to[1:] - 1, max(least, 1))
+                if not len(line):
+                    continue
+                buf, begin = _plain(n, s, e, low)
+                edges = np.append(begin[:-1] + 1, 0).astype(np.int64)
+                flat, cut = buf.tobytes(), np.append(begin[1:] - 1, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([flat[x:y].decode() for x, y in zip(edges[:-1], cut[:-1], strict=True)], pa.string())], ["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "text")
+    return d.mapInArrow(run, "node long, text string").dropDuplicates(["node"]).join(asked, "node", "left_semi")
 
 
 def removals(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from a document."""
-    occ = stash(_occurrences(docs, least), "lines")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "line")
-    nodes = stash(occ.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c")), "line-nodes")
-    found = stash(_members(docs, least, percent, bits), "line-keys")
+    with scratch(docs.sparkSession):
+        return stash(_removals(docs, least, percent, bits), "lines-gone", keep=True)
+
+
+def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
+    occ = stash(_occurrences(docs, least, percent, bits), "lines")
+    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "line")
+    nodes = occ.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.max("chars").alias("chars"), F.max(F.when(F.col("keys").isNotNull(), F.col("sim"))).alias("sim"))
+    nodes = stash(nodes, "line-nodes")
 
     def near(x: Column, y: Column) -> Column:
-        alike = F.abs(x["chars"] - y["chars"]) * 100 <= F.greatest(x["chars"], y["chars"]) * (100 - percent)
-        return alike if bits is None else alike & (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= bits)
+        longest = F.greatest(x["chars"], y["chars"])
+        alike = F.abs(x["chars"] - y["chars"]) * 100 <= longest * (100 - percent)
+        apart = F.bit_count(x["sim"].bitwiseXOR(y["sim"]))
+        return alike & ((apart <= bits) if bits is not None else (longest <= SIFTED) | (apart <= SIFT))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        text = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), least)
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = stash(asked.join(nodes, "node").select("node", "first.d", "first.line"), "line-asked")
+        text = stash(_texts(docs, asked, least), "line-texts")
         p = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        longest = F.greatest(F.char_length("ta"), F.char_length("tb"))
-        p = p.withColumn("most", F.floor(longest * (100 - percent) / 100).cast("int"))
-        return p.where(F.expr("CASE WHEN most = 0 THEN ta = tb ELSE levenshtein(ta, tb, most) >= 0 END")).select("a", "b")
+        return p.select("a", "b", "ta", "tb").mapInArrow(lambda batches: close(batches, percent), "a long, b long")
 
-    member = found.select("node", F.explode("keys").alias("key"))
-    features = found.select("node", F.struct("chars", "sim").alias("f")).dropDuplicates(["node"])
-    label = grouped(member, features, near, confirm, "lines")
+    member = occ.select("node", F.explode("keys").alias("key"))
+    label = grouped(member, nodes.select("node", F.struct("chars", "sim").alias("f")), near, confirm, "lines")
     linked = nodes.join(label, "node", "left").select("node", "first", "c", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     firsts = linked.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
     keep = linked.where("c > 1 OR fuzzy").join(firsts, "root", "left").select("node", F.coalesce("keep", "first").alias("keep"))
@@ -255,51 +296,38 @@ def removals(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int |
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _cut(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
-    gone = removals(docs, least=least, percent=percent, bits=bits).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+def _cut(docs: DataFrame, least: int, percent: int, bits: int | None) -> tuple[DataFrame, Column, Column]:
+    """docs with the numbers of the lines to remove, that column, and the text without them."""
+    key, gone = free(docs, "gone_id", "gone_lines")
+    lines = removals(docs, least=least, percent=percent, bits=bits).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
+    joined = docs.join(lines, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
+    return joined, F.col(gone), F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
-def dedup_lines(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE, drop_emptied: bool = False) -> DataFrame:
     """The documents without repeated lines, with all their columns; n_chars, where there is one, is that of the new text.
 
     Lines are cut at line feeds and compared by their normalised words (see above). Lines of fewer than `least` words stay; with 0,
     lines without a word but not blank are compared too, as they are. Two lines are linked if they are equal, or if their edit
     distance is at most 100 - percent per cent of the longer one and, unless bits is None, their SimHashes differ in at most that
     many bits. Of each connected group the occurrence with the smallest (doc_id, line)
-    stays. Every document stays, with an empty text if all its lines went; a null text stays null. Null ids come last; rows of
-    one id count as one document, so of repeated rows all keep or lose a line together.
+    stays. Every document stays, with an empty text if all its lines went, unless drop_emptied: then those go that lines were cut
+    from and that have nothing but white space left. A null text stays null. Null ids come last; rows of
+    one id count as one document, so of repeated rows all keep or lose a line together. Further columns may have any name.
     """
-    at, columns = docs.columns.index("text"), docs.columns
-    size = columns.index("n_chars") if "n_chars" in columns else None
-    kinds = [docs.schema["n_chars"].dataType.simpleString()] if size is not None else []
-
-    def run(batches):
-        for batch in batches:
-            cols = list(batch.columns[:-1])
-            texts, gone = cols[at].to_pylist(), batch.column(len(cols)).to_pylist()
-            new = [t if t is None or not g else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in h) for t, g in zip(texts, gone, strict=True) for h in (set(g or ()),)]
-            cols[at] = pa.array(new, cols[at].type)
-            if size is not None and kinds[0] in ("bigint", "int"):
-                old = cols[size].to_pylist()
-                cols[size] = pa.array([len(t) if g else o for t, g, o in zip(new, gone, old, strict=True)], cols[size].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return _cut(docs, least, percent, bits).mapInArrow(run, docs.schema)
+    joined, gone, text = _cut(docs, least, percent, bits)
+    if drop_emptied:
+        joined = joined.where(gone.isNull() | F.col("text").isNull() | text.rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": text}
+    if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() in ("bigint", "int"):
+        new["n_chars"] = F.coalesce(F.when(gone.isNotNull(), F.char_length(text)).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int | None = DISTANCE) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that dedup_lines() leaves; a null text is empty, and has no lines)."""
-
-    def run(batches):
-        for batch in batches:
-            texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            lines = [t.split("\n") if t is not None else [] for t in texts]
-            kept = ["\n".join(x for i, x in enumerate(ls) if i not in h) for ls, g in zip(lines, gone, strict=True) for h in (set(g or ()),)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in kept])],
-                ["doc_id", "n_lines", "n_removed", "kept_sha256"],
-            )
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _cut(d, least, percent, bits).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    joined, gone, text = _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, percent, bits)
+    n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    n = F.when(F.col("text").isNull(), 0).otherwise(n)
+    return joined.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.array_size(gone), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("kept_sha256"))

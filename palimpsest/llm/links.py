@@ -12,31 +12,30 @@ from pyspark.sql import functions as F
 from palimpsest.llm.components import components
 from palimpsest.llm.shared import Shipped, stash
 
-#: Bits of a membership filter: 8 MB, however many nodes it is told.
-FILTER_BITS = 1 << 26
+#: Bits of a membership filter, at least and at most (64 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
 def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None, keys: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of nodes over confirmed links: (node, root) of the nodes that have a link.
 
-    member: (key, node), distinct; only nodes of one key are compared. features: (node, f), a struct that near() compares, cheaply
-    and without losing a link; confirm() takes pairs (a, b) and returns those that are links. In each bucket all nodes are
+    member: (key, node), repeats allowed; only nodes of one key are compared. features: (node, f), a struct that near() compares,
+    cheaply; confirm() takes pairs (a, b) and returns those that are links. In each bucket all nodes are
     compared with its leader, the one that meets most others in all its buckets; then, only where a bucket still holds several
     components, nodes of different ones are compared with each other. Within a component no further link is looked for.
+    Buckets are joined, never dealt by hand, so that Spark splits a large one over tasks.
 
-    held: a function from nodes to (node, full), null or absent for nodes that are too large, and the test of two such values. The last
-    comparison then makes that test where it meets the nodes, and gives out links alone: a large group whose members are alike, but
-    not enough, would leave pairs by the square of its size to confirm. Pairs of nodes that are too large are confirmed as ever.
-    keys: (node, g), g holding all keys of a node, and the first key that two such values share, so that two nodes that meet often are
-    compared once.
+    held: a function from nodes to (node, full), and the test of two such values. The last comparison then makes that test where it
+    meets the nodes, and gives out links alone: a large group whose members are alike, but not enough, would leave pairs by the
+    square of its size to confirm. keys: (node, g), g holding all keys of a node, and the first key that two such values share,
+    so that two nodes that meet often are compared once.
     """
-    dealt = member.repartition("key")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = stash(dealt.join(shared, "key"), f"{name}-buckets")  # only nodes that meet another
+    shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "c")
+    member = stash(member.join(shared, "key").groupBy("key", "node").agg(F.max("c").alias("c")), f"{name}-buckets")  # only nodes that meet another
     meets = member.groupBy("node").agg(F.sum("c").alias("meets"))
     ranked = member.select("key", "node").join(meets, "node")
-    lead = ranked.groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("lead"))
-    stars = ranked.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    lead = ranked.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("lead")).select("key", "lead.node").withColumnRenamed("node", "lead")
+    stars = member.select("key", "node").join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(features.select(F.col("node").alias("a"), F.col("f").alias("x")), "a")
     stars = stars.join(features.select(F.col("node").alias("b"), F.col("f").alias("y")), "b").where(near(F.col("x"), F.col("y")))
     first = stash(confirm(stash(stars.select("a", "b"), f"{name}-pairs")), f"{name}-links")
@@ -53,26 +52,23 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     if held:
         within = stash(within, f"{name}-mixed")
         full = stash(held[0](within.select("node").distinct()), f"{name}-full")
-        within = within.join(full, "node", "left")
-        unsure = F.col("s").isNull() | F.col("t").isNull()
-        test = unsure | held[1](F.col("s"), F.col("t"))
+        within = within.join(full, "node")
+        test = held[1](F.col("s"), F.col("t"))
     else:
-        within, unsure = within.withColumn("full", F.lit(None).cast("long")), F.lit(True)
+        within = within.withColumn("full", F.lit(None).cast("long"))
     a = within.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("x"), F.col("full").alias("s"), "g")
     b = within.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("f").alias("y"), F.col("full").alias("t"), F.col("g").alias("h"))
     cross = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & once & near(F.col("x"), F.col("y")) & test)
-    cross = stash(cross.select("a", "b", unsure.alias("unsure")).distinct(), f"{name}-pairs")
+    cross = stash(cross.select("a", "b").distinct(), f"{name}-pairs")
     if not cross.head(1):
         return label
-    more, rest = cross.where("NOT unsure").select("a", "b"), cross.where("unsure").select("a", "b")
-    if rest.head(1):
-        more = more.unionByName(stash(confirm(rest), f"{name}-links"))
+    more = cross if held else stash(confirm(cross), f"{name}-links")
     return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(38)).astype(np.int64), ((h ^ (h >> np.uint64(29))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
 
 
 class Filter:
@@ -83,26 +79,31 @@ class Filter:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
-        for p in _places(x):
+        for p in _places(x, len(self.bits) * 8):
             out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
         return out
 
 
-def membership(ids: DataFrame) -> Shipped:
-    """A Filter of a long column, built where the rows are and shipped: FILTER_BITS bits for any number of rows."""
+def membership(ids: DataFrame, count: int | None = None) -> Shipped:
+    """A Filter of a long column, built where the rows are and shipped: 16 bits a row, rounded up to a power of two, and
+    MOST_BITS at most. Beyond that many rows it lets more strangers pass, which callers drop by a join; it never loses a row."""
     column = ids.columns[0]
+    ids = ids.where(F.col(column).isNotNull())
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 16 * (ids.count() if count is None else count)):
+        size *= 2
 
     def run(batches):
         for batch in batches:
-            p = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            p = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size))
             cell, bit = p >> 6, np.uint64(1) << (p & 63).astype(np.uint64)
             u, inv = np.unique(cell, return_inverse=True)
             bits = np.zeros(len(u), np.uint64)
             np.bitwise_or.at(bits, inv, bit)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(bits.view(np.int64))], ["cell", "bits"])
 
-    cells = ids.where(F.col(column).isNotNull()).mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    cells = ids.mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
     got = cells.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return Shipped(ids.sparkSession, Filter(bits.view(np.uint8)))

@@ -4,7 +4,7 @@ Documents of one shingle set are one node. A node has HASHES minima; bands of th
 of them keep their low four bits, packed. In a bucket every node is compared with a leader, the node that meets most others over all
 its buckets; nodes of different components that are left in a bucket are then compared with each other. A comparison first
 corrects the share of equal low bits for chance collisions, and drops pairs more than five standard deviations below the
-threshold; the rest is decided on the full sets. So no link is lost but those that share no band (one in two million at the
+threshold; the rest is decided on the full sets, whatever their size. So no link is lost but those that share no band (one in two million at the
 threshold of 0.85), and a group of copies costs a star, not all its pairs.
 """
 
@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.links import grouped, membership
-from palimpsest.llm.shared import stash
+from palimpsest.llm.shared import free, scratch, stash
 
 HASHES, POOL, BITS = 256, 128, 4
 LONGS = HASHES * BITS // 64
-#: Sets of at most so many shingles are compared where their nodes meet; pairs with a larger one are looked up afterwards.
-SMALL = 2048
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -147,6 +145,11 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("bands are laid out for 80 % or more")
+    with scratch(docs.sparkSession):
+        return stash(_groups(docs, k, percent), "minhash-groups", keep=True)
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = 5 if percent >= 85 else 4
     sketched = stash(_sketched(docs, k, rows), "minhash")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
@@ -158,20 +161,17 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
         return (F.least(x["n"], y["n"]) * 100 >= percent * F.greatest(x["n"], y["n"])) & (_estimate(x["sig"], y["sig"]) >= least)
 
     def sets(asked: DataFrame) -> DataFrame:
-        asked = asked.join(nodes.select("node", "doc"), "node")
-        return _sets(docs, asked.select(F.coalesce("doc", F.lit(-(1 << 63)))), k)
+        found = _sets(docs, asked.join(nodes.select("node", "doc"), "node").select(F.coalesce("doc", F.lit(-(1 << 63)))), k)
+        return found.join(asked, "node", "left_semi")  # the filter lets strangers pass
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return _linked(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
-
-    def small(asked: DataFrame) -> DataFrame:
-        asked = asked.join(nodes.where(F.col("n") <= SMALL).select("node"), "node")
-        return sets(asked).where(F.size("set") <= SMALL).select("node", F.col("set").alias("full"))
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return _linked(pairs, sets(stash(asked, "minhash-asked")), percent)
 
     member = nodes.select("node", F.explode("bands").alias("key"))
     bands = range(POOL // rows)
     first = lambda g, h: F.coalesce(*[F.when(F.get(g, F.lit(i)) == F.get(h, F.lit(i)), F.get(g, F.lit(i))) for i in bands])
-    held = (small, lambda x, y: _alike(x, y, percent))
+    held = (lambda asked: sets(stash(asked, "minhash-asked")).select("node", F.col("set").alias("full")), lambda x, y: _alike(x, y, percent))
     label = grouped(member, nodes.select("node", F.struct("n", "sig").alias("f")), near, confirm, "minhash", held, (nodes.select("node", F.col("bands").alias("g")), first))
     node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least_doc = node.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -182,6 +182,8 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each of groups(), with all its columns; of rows that share the smallest id, each with its own text stays."""
-    kept = stash(groups(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct(), "minhash-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each of groups(), with all its columns. A null or empty text stays; of rows that share the smallest id, each
+    with its own text stays; an empty table stays empty; further columns, whatever they are called, come through."""
+    (name,) = free(docs, "kept_id")
+    kept = groups(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
