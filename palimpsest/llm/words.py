@@ -78,12 +78,12 @@ def spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     return s, e, np.searchsorted(s, off)
 
 
-def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, eight at a time."""
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, eight at a time; seeds give independent ones."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
-    h = mix((e - s).astype(U64) * U64(_R))
+    h = mix((e - s).astype(U64) * U64(_R) + U64(seed))
     at, left, which = s, e - s, None
     while len(at):
         v = lanes[at] & _MASK[np.minimum(left, 8)]
