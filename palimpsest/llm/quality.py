@@ -116,9 +116,8 @@ class Model:
         return a, b, trees.sigmoid(np.stack([_logit(a), _logit(b), np.ones(len(a))], axis=1) @ self.weights)
 
 
-def cotrain(xt, xm, y, ids, pool_t, pool_m, *, rounds: int = 5, grow: float = 0.04, sure: float = 0.9) -> Model:
-    """Each round each view labels, of the pool's rows it is at least `sure` of, at most a share `grow` of the pool, in the
-    proportion of the labels' classes, for the other view."""
+def _taught(xt, xm, y, pool_t, pool_m, rounds: int, grow: float, sure: float) -> dict:
+    """The models of both views after the rounds."""
     given = {"t": np.full(len(pool_t), np.nan), "m": np.full(len(pool_t), np.nan)}  # labels that a view has received
     mean = y.mean()
     fit = {}
@@ -137,17 +136,20 @@ def cotrain(xt, xm, y, ids, pool_t, pool_m, *, rounds: int = 5, grow: float = 0.
                 can = np.flatnonzero(free & (conf >= sure))
                 take = can[np.argsort(-conf[can], kind="stable")[: max(1, int(grow * share * len(pool)))]]
                 given[other][take] = label
-    oof = []
-    for v, x, pool in (("t", xt, pool_t), ("m", xm, pool_m)):
-        got = ~np.isnan(given[v])
-        if v == "t":
-            oof.append(trees.out_of_fold(x, y, ids, (pool[got], given[v][got])))
-        else:
-            fold, z = trees.folds(ids), np.zeros(len(y))
-            for k in range(5):
-                if (mine := fold == k).any():
-                    z[mine] = Metadata(np.concatenate([x[~mine], pool[got]]), np.concatenate([y[~mine], given[v][got]])).raw(x[mine])
-            oof.append(z)
+    return fit
+
+
+def cotrain(xt, xm, y, ids, pool_t, pool_m, *, rounds: int = 5, grow: float = 0.04, sure: float = 0.9) -> Model:
+    """Each round each view labels, of the pool's rows it is at least `sure` of, at most a share `grow` of the pool, in the
+    proportion of the labels' classes, for the other view. Calibration and weights are fitted to scores of models for which the
+    whole co-training was repeated without the row's fold, so no pseudo-label has seen it either."""
+    oof = [np.zeros(len(y)), np.zeros(len(y))]
+    fold = trees.folds(ids)
+    for k in range(5):
+        if (mine := fold == k).any():
+            fit = _taught(xt[~mine], xm[~mine], y[~mine], pool_t, pool_m, rounds, grow, sure) if (~mine).any() else None
+            oof[0][mine], oof[1][mine] = (fit["t"].raw(xt[mine]), fit["m"].raw(xm[mine])) if fit else (0.0, 0.0)
+    fit = _taught(xt, xm, y, pool_t, pool_m, rounds, grow, sure)
     calibrate = [trees.isotonic(z, y) for z in oof]
     z = np.stack([_logit(c(z)) for c, z in zip(calibrate, oof, strict=True)], axis=1)
     return Model(fit["t"], fit["m"], calibrate, _weights(z, y))
@@ -183,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, rows: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("y")), *lists], ["doc_id", "y", "t", "m"])
 
     got = base.join(F.broadcast(picked), "doc_id").mapInArrow(view, "doc_id long, y int, t array<double>, m array<double>").orderBy("doc_id", "t", "m").collect()
-    t, m = np.array([r.t for r in got]).reshape(len(got), -1), np.array([r.m for r in got]).reshape(len(got), -1)
+    t, m = np.array([r.t for r in got]).reshape(len(got), 14), np.array([r.m for r in got]).reshape(len(got), 3)
     y, ids = np.array([r.y for r in got], float), np.array([r.doc_id for r in got], np.int64)
     known = y >= 0
     if not known.any() or y[known].min() == y[known].max():

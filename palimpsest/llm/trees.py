@@ -110,14 +110,3 @@ def folds(ids: np.ndarray, k: int = 5) -> np.ndarray:
     """A fold for each id, the same in every run."""
     u = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((u >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-
-
-def out_of_fold(x: np.ndarray, y: np.ndarray, ids: np.ndarray, extra: tuple[np.ndarray, np.ndarray] | None = None, **how) -> np.ndarray:
-    """Raw scores of each row by a model that has not seen its fold; extra rows are learned from in every fold."""
-    fold, out = folds(ids), np.zeros(len(y))
-    for k in range(5):
-        mine = fold == k
-        a, b = (x[~mine], y[~mine]) if extra is None else (np.concatenate([x[~mine], extra[0]]), np.concatenate([y[~mine], extra[1]]))
-        if mine.any():
-            out[mine] = boost(a, b, **how).raw(x[mine])
-    return out
