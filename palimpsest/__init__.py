@@ -3,6 +3,7 @@
 from palimpsest.engine import Engine, TemporalTable
 from palimpsest.plans.spec import (
     ChangeContext,
+    ConflictError,
     HistoricalSnapshotError,
     HistoryHorizonError,
     NotTemporalError,
@@ -16,6 +17,7 @@ from palimpsest.plans.spec import (
 
 __all__ = [
     "ChangeContext",
+    "ConflictError",
     "Engine",
     "HistoricalSnapshotError",
     "HistoryHorizonError",

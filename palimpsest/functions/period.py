@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The open end on disk. It sorts after every instant; results show null instead (see closed_or_null).
 SENTINEL = dt.datetime(9999, 12, 31, 23, 59, 59, 999999)
@@ -31,12 +32,25 @@ def ntz(value: dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def to_us(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+_DAY_US = 86_400_000_000
+
+
+def to_us(c: Column, kind: T.DataType | None = None) -> Column:
+    """Microseconds since 1970 of a wall-clock time, read as UTC in whatever zone the session has. kind: the type of c; an instant
+    (timestamp with zone) keeps its microseconds."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    c = c.cast("timestamp_ntz")
+    seconds = (F.unix_date(c.cast("date")).cast("bigint") * 24 + F.hour(c)) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def from_us(c: Column) -> Column:
-    return F.timestamp_micros(c).cast("timestamp_ntz")
+    """The wall-clock time of microseconds since 1970, the same in every session zone."""
+    rest = F.pmod(c, F.lit(_DAY_US))
+    days = F.floor((c - rest) / _DAY_US).cast("int")
+    step = F.make_dt_interval(days, F.lit(0), F.lit(0), (rest.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + step
 
 
 def contains_instant(vf: Column, vt: Column, t: dt.datetime) -> Column:
@@ -63,4 +77,4 @@ def closed_or_null(vt: Column) -> Column:
 
 def month(c: Column) -> Column:
     """The partition bucket of an end; that of the open end sorts last."""
-    return F.date_format(c.cast("timestamp"), "yyyy-MM")
+    return F.concat_ws("-", F.lpad(F.year(c).cast("string"), 4, "0"), F.lpad(F.month(c).cast("string"), 2, "0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ def _text(c: Column, kind: T.DataType) -> Column:
     return F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
 
 
+def _plain(c: Column, is_json: bool) -> Column:
+    """What is compared: JSON by its content, as the derivation does."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c) if is_json else c
+
+
 def _unpivot(df: DataFrame, spec: TemporalSpec, old: str, new: str, first: Column, keep: list[str]) -> DataFrame:
     """Rows of changed leaves; where first holds there is nothing older and every leaf is listed, null or not."""
     leaves = [
@@ -25,7 +32,7 @@ def _unpivot(df: DataFrame, spec: TemporalSpec, old: str, new: str, first: Colum
             F.lit(x.path).alias("path"),
             _text(F.col(f"{old}.{x.column}"), x.type).alias("old_value"),
             _text(F.col(f"{new}.{x.column}"), x.type).alias("new_value"),
-            (first | ~F.col(f"{old}.{x.column}").eqNullSafe(F.col(f"{new}.{x.column}"))).alias("changed"),
+            (first | ~_plain(F.col(f"{old}.{x.column}"), x.column in spec.json_columns).eqNullSafe(_plain(F.col(f"{new}.{x.column}"), x.column in spec.json_columns))).alias("changed"),
         )
         for i, x in enumerate(spec.diff_order())
     ]
@@ -67,4 +74,11 @@ def diff_pair(older: dict | None, newer: dict, spec: TemporalSpec) -> list[tuple
     leaves = spec.diff_order()
     if older is None:
         return [(x.path, None, newer[x.column]) for x in leaves]
-    return [(x.path, older[x.column], newer[x.column]) for x in leaves if older[x.column] != newer[x.column]]
+
+    def plain(value, column: str):
+        try:
+            return json.loads(value) if column in spec.json_columns and value is not None else value
+        except ValueError:
+            return value
+
+    return [(x.path, older[x.column], newer[x.column]) for x in leaves if plain(older[x.column], x.column) != plain(newer[x.column], x.column)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Collection, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,18 +48,32 @@ def entity_columns(spec: TemporalSpec) -> list[Column]:
 
 def apply_filters(history: DataFrame, spec: TemporalSpec, ignore: bool | Collection[str] = False) -> DataFrame:
     """The entity's filters on the historical values. One over a column that history does not hold makes every historical
-    read fail, even one that ignores filters: its result could not be trusted."""
+    read fail, even one that ignores filters: its result could not be trusted. Which columns a predicate reads is found by analysing
+    it over the versioned ones; filter_columns may state more."""
+    held = history.select(*spec.columns) if spec.filters else history
     for name, columns in spec.filter_columns.items():
         if lost := [c for c in columns if c not in spec.columns]:
             raise UnsupportedTemporalQuery(f"{spec.name}: filter {name!r} reads {', '.join(lost)}, which history does not hold")
     for name, predicate in spec.filters.items():
+        try:
+            held.where(predicate()).schema  # noqa: B018  analysis alone
+        except AnalysisException as e:
+            raise UnsupportedTemporalQuery(f"{spec.name}: filter {name!r} reads what history does not hold: {e.getCondition() or e}") from e
         if ignore is not True and name not in (ignore or ()):
             history = history.where(predicate())
     return history
 
 
+def _month(t: dt.datetime) -> str:
+    return f"{t.year:04d}-{t.month:02d}"
+
+
 def _ended_after(history: DataFrame, t: dt.datetime) -> DataFrame:
-    return history.where(F.col(BUCKET) >= f"{t:%Y-%m}") if BUCKET in history.columns else history
+    return history.where(F.col(BUCKET) >= _month(t)) if BUCKET in history.columns else history
+
+
+def _ended_by(history: DataFrame, t: dt.datetime) -> DataFrame:
+    return history.where(F.col(BUCKET) <= _month(t)) if BUCKET in history.columns else history
 
 
 def _shown(spec: TemporalSpec) -> list[Column]:
@@ -100,7 +115,7 @@ def from_to(history: DataFrame, spec: TemporalSpec, start: dt.datetime, end: dt.
 def contained_in(history: DataFrame, spec: TemporalSpec, start: dt.datetime, end: dt.datetime, **how) -> DataFrame:
     """Versions whose whole period lies in [start, end); an end of datetime.max takes open versions too."""
     a, b = P.window(start, end)
-    return versions(_ended_after(history, a), spec, where=P.within(F.col(spec.period[0]), F.col(spec.period[1]), a, b), **how)
+    return versions(_ended_by(_ended_after(history, a), b), spec, where=P.within(F.col(spec.period[0]), F.col(spec.period[1]), a, b), **how)
 
 
 def history_rows(history: DataFrame, spec: TemporalSpec, *, ignore_filters: bool | Collection[str] = False, ordered: bool = True) -> DataFrame:

@@ -19,6 +19,8 @@ from palimpsest.plans.spec import CONTEXT_COLUMNS, HistoricalSnapshotError, Temp
 
 #: Closes the open version and leaves no tombstone: the old key of a change of keys.
 CLOSE = 0
+#: How the text of an error begins that a job raises over the changes themselves.
+VIOLATION = "[PALIMPSEST_VIOLATION] "
 #: Metadata key that marks key columns of rows read from history.
 ORIGIN = "palimpsest.history"
 
@@ -75,6 +77,7 @@ def derive_history(
     writer: str = "trigger",
     open_versions: DataFrame | None = None,
     dangling_deletes: str = "drop",
+    duplicate_inserts: str = "update",
     session_user: str | None = None,
 ) -> DataFrame:
     """The history of changes: one row for each insert and update, a tombstone with the last values for each delete.
@@ -83,7 +86,9 @@ def derive_history(
     update that leaves every versioned column as it was and reads an empty context string as null; "interceptor" records
     such updates when a versioned column was written (changes may carry a boolean __touched; null counts as true).
     open_versions: open rows of an existing history for the keys in changes; they take part as first rows of their keys
-    and come back closed or still open. dangling_deletes: "drop" or "error", for a delete of a row that isn't there.
+    and come back closed or still open. dangling_deletes: "drop" or "error", for a delete of a row that isn't there;
+    duplicate_inserts: "update" or "error", for an insert of a key that is live. Such an error is raised by the job that computes
+    the history, without a pass of its own; its text begins with VIOLATION.
     An empty frame gives an empty history; null keys form a key of their own.
     """
     if writer not in ("trigger", "interceptor"):
@@ -97,7 +102,7 @@ def derive_history(
     rows = changes.select(
         F.struct(*flat(changes, spec)).alias("v"),
         F.struct(F.lit(1).alias("late"), *[F.col(o) for o in order]).alias("at"),
-        to_us(F.col(ts)).alias("us"),
+        to_us(F.col(ts), changes.schema[ts].dataType).alias("us"),
         F.col(op).cast("smallint").alias("op"),
         F.col(history_id or order[-1]).cast("bigint").alias("history_id"),
         F.struct(*context).alias("ctx"),
@@ -126,8 +131,18 @@ def derive_history(
     ends = (3, CLOSE)
     rows = rows.select("*", F.lag("op").over(by_key).alias("prev"), F.lag("v").over(by_key).alias("last"))
     live = F.col("prev").isNotNull() & ~F.col("prev").isin(*ends)
-    if dangling_deletes == "error" and rows.where((F.col("op") == 3) & ~live).limit(1).count():
-        raise TemporalError(f"{spec.name}: a delete has no live row to snapshot")
+    again = (F.col("op") == 1) & live & (F.col("at.late") == 1)
+    wrong = []
+    if dangling_deletes == "error":
+        wrong.append(((F.col("op") == 3) & ~live, f"{VIOLATION}{spec.name}: a delete has no live row to snapshot"))
+    if duplicate_inserts == "error":
+        wrong.append((again, f"{VIOLATION}{spec.name}: an insert of a key that is live"))
+    if wrong:
+        fine = F.lit(True)
+        for bad, text in wrong:
+            fine = F.when(bad, F.raise_error(F.lit(text)).cast("boolean")).otherwise(fine)
+        rows = rows.where(fine)
+    rows = rows.withColumn("op", F.when(again, F.lit(2).cast("smallint")).otherwise(F.col("op")))
     rows = rows.where(live | ~F.col("op").isin(*ends))
     unchanged = (F.col("op") == 2) & live & (F.col("at.late") == 1)
     unchanged &= _same(spec, "v", "last") if writer == "trigger" else ~F.col("touched")

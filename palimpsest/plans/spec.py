@@ -17,6 +17,10 @@ class TemporalError(Exception):
     """Base of every error that this engine raises itself."""
 
 
+class ConflictError(TemporalError):
+    """Another writer committed first; nothing was changed, and the write can be repeated."""
+
+
 class NotTemporalError(TemporalError):
     """The entity has no history."""
 

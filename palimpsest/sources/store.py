@@ -1,8 +1,8 @@
 """A history on disk: immutable Parquet directories named by numbered manifests.
 
-Closed versions lie in directories that are only added; open ones are one directory, replaced by each commit. Both are
-partitioned by the month of valid_to. A commit writes its directories, then renames the next manifest into place; a reader pins
-the manifest it found. A job that dies leaves unnamed directories and no visible change, and can be run again.
+A commit writes one directory, partitioned by the month of valid_to: the versions that it closed, and in the last month all that are
+open. Directories of closed versions are only added; the open ones are those of the newest. Then the next manifest is put into place; a
+reader pins the manifest it found. A job that dies leaves unnamed directories and no visible change, and can be run again.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.period import is_open, month
+from palimpsest.functions.period import month
 from palimpsest.operators.reader import BUCKET
-from palimpsest.plans.spec import TemporalError
+from palimpsest.plans.spec import ConflictError, TemporalError
+
+
+#: The month of the open end.
+OPEN_MONTH = "9999-12"
 
 
 class Files:
@@ -42,14 +47,26 @@ class Files:
             stream.close()
 
     def publish(self, name: str, content: dict) -> None:
-        """All or nothing: fails if the name is taken, so of two writers one loses."""
-        tmp = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        """All or nothing: fails if the name is taken, so of two writers one loses. On a local disk the finished file is linked to
+        its name, elsewhere renamed: both refuse a name that exists, in one step. A store whose rename replaces files must be
+        given a file system that commits conditionally."""
+        tmp, to = self.path(f"{name}.{uuid.uuid4().hex}.tmp"), self.path(name)
         out = self.fs.create(tmp, True)
         out.write(bytearray(json.dumps(content, indent=1).encode()))
         out.close()
-        if self.fs.exists(self.path(name)) or not self.fs.rename(tmp, self.path(name)):
+        try:
+            if self.fs.getScheme() == "file":
+                local = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self.spark._jvm.java.nio.file.Files.createLink(local(to), local(tmp))
+                except Py4JJavaError as e:
+                    if "FileAlreadyExists" not in str(e.java_exception):
+                        raise
+                    raise ConflictError(f"another writer published {self.root}/{name}") from None
+            elif self.fs.exists(to) or not self.fs.rename(tmp, to):
+                raise ConflictError(f"another writer published {self.root}/{name}")
+        finally:
             self.fs.delete(tmp, False)
-            raise TemporalError(f"another writer published {self.root}/{name}")
 
     def rename(self, old: str, new: str) -> None:
         if not self.fs.rename(self.path(old), self.path(new)):
@@ -70,7 +87,7 @@ class HistoryStore:
         return self.files.read(found[-1]) if found else None
 
     def commit(self, base: dict | None, **changed) -> dict:
-        new = {"open": [], "closed": [], "horizon": None, "batches": [], "sequence": 0, **(base or {}), **changed}
+        new = {"open": [], "closed": [], "horizon": None, "batches": [], "streams": {}, "sequence": 0, **(base or {}), **changed}
         new["version"] = (base or {}).get("version", 0) + 1
         self.files.publish(f"manifest-{new['version']:010d}.json", new)
         return new
@@ -82,31 +99,34 @@ class HistoryStore:
         out.write.partitionBy(BUCKET).parquet(f"{self.files.root}/{name}")
         return name
 
-    def read(self, folders: list[str], schema: T.StructType) -> DataFrame:
-        """Columns that older files lack are null; the partition bucket stays text and prunes directories.
+    def read(self, folders: dict[str, list[str]], schema: T.StructType) -> DataFrame:
+        """folders: of the parts "open" and "closed". Both may name one folder, whose last month holds its open rows. Columns that older
+        files lack are null; the partition bucket stays text and prunes directories.
 
         folder@month names the part of a folder that lies after that month: what pruning has left of it.
         """
         full = T.StructType([*schema.fields, T.StructField(BUCKET, T.StringType())])
         out = None
-        for name in folders:
-            folder, _, floor = name.partition("@")
-            part = self.spark.read.schema(full).parquet(f"{self.files.root}/{folder}")
-            part = part.where(F.col(BUCKET) > floor) if floor else part
-            out = part if out is None else out.unionByName(part)
+        for part, names in folders.items():
+            for name in names:
+                folder, _, floor = name.partition("@")
+                rows = self.spark.read.schema(full).parquet(f"{self.files.root}/{folder}")
+                rows = rows.where(F.col(BUCKET) == OPEN_MONTH if part == "open" else F.col(BUCKET) < OPEN_MONTH)
+                rows = rows.where(F.col(BUCKET) > floor) if floor else rows
+                out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], full) if out is None else out
 
-    def split(self, df: DataFrame, key: list[str], vt: str) -> tuple[str, str]:
-        """Writes derived rows: (folder of open ones, folder of closed ones)."""
-        return self.write(df.where(is_open(F.col(vt))), "open", key, vt), self.write(df.where(~is_open(F.col(vt))), "closed", key, vt)
-
     def vacuum(self) -> int:
         """Removes directories that the newest manifest does not name. Not while readers of older manifests run."""
         base, gone = self.manifest() or {"open": [], "closed": []}, 0
-        kept = {name.partition("@")[0]: name.partition("@")[2] for folder in ("open", "closed") for name in base[folder]}
-        for folder in ("open", "closed"):
-            for name in (f"{folder}/{n}" for n in self.files.names(folder)):
-                old = [name] if name not in kept else [f"{name}/{n}" for n in self.files.names(name) if n.startswith(BUCKET) and n.partition("=")[2] <= kept[name]]
+        closed = {name.partition("@")[0]: name.partition("@")[2] for name in base["closed"]}
+        for top in ("open", "closed", "data"):
+            for name in (f"{top}/{n}" for n in self.files.names(top)):
+                old = [name] if name not in closed and name not in base["open"] else []
+                for n in [] if old else self.files.names(name):
+                    month_ = n.partition("=")[2]
+                    if n.startswith(BUCKET) and (month_ == OPEN_MONTH and name not in base["open"] or month_ < OPEN_MONTH and (name not in closed or month_ <= closed[name])):
+                        old.append(f"{name}/{n}")
                 for x in old:
                     self.files.delete(x)
                 gone += len(old)
