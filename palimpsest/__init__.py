@@ -9,6 +9,7 @@ from palimpsest.plans.spec import (
     NotTemporalError,
     RetentionNotEnabledError,
     SchemaEvolutionError,
+    TemporalError,
     TemporalModelError,
     TemporalSpec,
     UnsupportedTemporalQuery,
@@ -24,6 +25,7 @@ __all__ = [
     "NotTemporalError",
     "RetentionNotEnabledError",
     "SchemaEvolutionError",
+    "TemporalError",
     "TemporalModelError",
     "TemporalSpec",
     "TemporalTable",

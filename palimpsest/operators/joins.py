@@ -19,3 +19,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Column, left_period: Seq
     lf, lt, rf, rt = (F.col(c) for c in (*left_period, *right_period))
     out = left.join(right, on & (lf < rt) & (rf < lt))
     return out.withColumns({"overlap_from": F.greatest(lf, rf), "overlap_to": F.least(lt, rt)})
+
+
+def as_of_many(instants: DataFrame, history: DataFrame, at: Column, period: Sequence[str] = ("valid_from", "valid_to")) -> DataFrame:
+    """The versions at each of a few instants that come as rows, so that one plan serves any of them. There is no equality to join on: the
+    instants are broadcast, and callers keep them few."""
+    return history.where(F.col("operation") != 3).join(F.broadcast(instants), (at >= F.col(period[0])) & (at < F.col(period[1])))

@@ -50,7 +50,8 @@ def apply_filters(history: DataFrame, spec: TemporalSpec, ignore: bool | Collect
     """The entity's filters on the historical values. One over a column that history does not hold makes every historical
     read fail, even one that ignores filters: its result could not be trusted. Which columns a predicate reads is found by analysing
     it over the versioned ones; filter_columns may state more."""
-    held = history.select(*spec.columns) if spec.filters else history
+    # A frame of its own: under a projection Spark would still find the columns that it leaves out.
+    held = history.sparkSession.createDataFrame([], history.select(*spec.columns).schema) if spec.filters else history
     for name, columns in spec.filter_columns.items():
         if lost := [c for c in columns if c not in spec.columns]:
             raise UnsupportedTemporalQuery(f"{spec.name}: filter {name!r} reads {', '.join(lost)}, which history does not hold")
@@ -131,3 +132,11 @@ def latest_per_key(history: DataFrame, spec: TemporalSpec) -> DataFrame:
     rest: Sequence[str] = [c for c in history.columns if c not in spec.key]
     best = F.max_by(F.struct(*rest), F.struct(F.col(spec.period[0]), F.col("history_id"))).alias("r")
     return history.groupBy(*spec.key).agg(best).select(*spec.key, "r.*")
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """rows if there is exactly one, checked by a look at two."""
+    found = rows.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"exactly one row was expected, not {'none' if not found else 'several'}")
+    return rows

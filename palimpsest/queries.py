@@ -79,6 +79,7 @@ U_ALL = "WITH " + _cte("u", "events", "user_id", "event_type, value, props", "ts
 UT = "WITH " + _cte("u", "events", "user_id, event_type", "value, props", "ts", "event_id", "false", True)
 O = "WITH " + _cte("o", "orders", "o_custkey", "o_orderstatus, o_orderpriority", "o_orderdate", "o_orderkey", "false", True)  # noqa: E741
 O_ALL = "WITH " + _cte("o", "orders", "o_custkey", "o_orderstatus, o_orderpriority", "o_orderdate", "o_orderkey", "false", False)
+UTU = U + ",\n" + _cte("x", "events", "user_id, event_type", "value, props", "ts", "event_id", "false", True)
 UO = U + ",\n" + O.removeprefix("WITH ")
 INF = f"TIMESTAMP '{P.SENTINEL}'"
 END = f"nullif(valid_to, {INF}) AS valid_to, valid_to = {INF} AS is_current"
@@ -365,18 +366,14 @@ def asof_event_join(s, d):
     return J.as_of_join(e, h, F.col("uid") == F.col("user_id"), F.col("ts")).select("event_id", "history_id", F.col("event_type").alias("state"))
 
 
-
-
-@_query(f"""{U}, k AS (SELECT user_id AS k2, event_type AS t2, valid_from AS f2, valid_to AS e2 FROM u WHERE operation <> 3 AND event_type = 'purchase')
-SELECT user_id, valid_from, f2, greatest(valid_from, f2) AS overlap_from, nullif(least(valid_to, e2), {INF}) AS overlap_to FROM u JOIN k ON user_id % 50 = k2 % 50 AND user_id <> k2 AND valid_from < e2 AND f2 < valid_to
-WHERE operation <> 3 AND event_type = 'signup'""")
+@_query(f"""{UTU}, k AS (SELECT user_id AS k2, event_type AS t2, valid_from AS f2, valid_to AS e2 FROM x WHERE operation <> 3)
+SELECT user_id, event_type, t2, valid_from, f2, greatest(valid_from, f2) AS overlap_from, nullif(least(valid_to, e2), {INF}) AS overlap_to FROM u JOIN k ON user_id = k2 AND event_type <> t2 AND valid_from < e2 AND f2 < valid_to WHERE operation <> 3""")
 def overlap_join(s, d):
-    h = user_history(s, d).where("operation <> 3")
-    a = h.where("event_type = 'signup'").select("user_id", "valid_from", "valid_to")
-    b = h.where("event_type = 'purchase'").select(F.col("user_id").alias("k2"), F.col("valid_from").alias("f2"), F.col("valid_to").alias("e2"))
-    on = (F.col("user_id") % 50 == F.col("k2") % 50) & (F.col("user_id") != F.col("k2"))
-    out = J.overlap_join(a, b, on, ("valid_from", "valid_to"), ("f2", "e2"))
-    return out.select("user_id", "valid_from", "f2", "overlap_from", P.closed_or_null(F.col("overlap_to")).alias("overlap_to"))
+    """A user's states with the user's states of each other type that were valid at the same time."""
+    a = user_history(s, d).where("operation <> 3").select("user_id", "event_type", "valid_from", "valid_to")
+    b = user_type_history(s, d).where("operation <> 3").select(F.col("user_id").alias("k2"), F.col("event_type").alias("t2"), F.col("valid_from").alias("f2"), F.col("valid_to").alias("e2"))
+    out = J.overlap_join(a, b, (F.col("user_id") == F.col("k2")) & (F.col("event_type") != F.col("t2")), ("valid_from", "valid_to"), ("f2", "e2"))
+    return out.select("user_id", "event_type", "t2", "valid_from", "f2", "overlap_from", P.closed_or_null(F.col("overlap_to")).alias("overlap_to"))
 
 
 @_query(f"{U} {VER} AND event_type = 'signup' UNION ALL {VER} AND event_type = 'purchase'")
@@ -403,8 +400,12 @@ def asof_anti(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    from palimpsest import stored_queries
+
+    return Q | stored_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from palimpsest import stored_queries
+
+    return SQL | stored_queries.SQL
