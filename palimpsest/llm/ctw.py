@@ -3,31 +3,35 @@
 A byte is eight binary decisions; each of the 255 prefixes has a context tree over the preceding DEPTH bytes, whose nodes keep the
 Krichevsky-Trofimov estimate of their counts. A node's weighted probability is the mean of its own estimate and of the
 product of its children's, so the trees of all depths are mixed; learned counts fix the share with which each depth
-predicts. Contexts that hold less than a fixed share of the training bytes are counted with their parent's rest, which bounds
-the model whatever the corpus. The counts of all (DEPTH + 1)-grams of bytes are gathered by partial sums.
+predicts. Where a context was never seen, its share goes to the deepest one that was. Every context of the training texts is kept,
+so the model grows with the corpus, and lies in the shared folder alone: the distinct (DEPTH + 1)-grams of bytes are dealt by
+the two nearest bytes of their context, a task holds the subtrees of a few such pairs at a time, and only the 65280 sums above
+them come together on the driver. What comes out is a table of grams in order with the probability of each one's last byte; a task of the
+scoring gathers the grams of some megabytes of text and goes through that table, file by file, once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.labelled import remainder
-from palimpsest.llm.shared import Shipped, stash
+from palimpsest.llm.shared import Shipped, fresh, open_fs, scratch, stash
 
 DEPTH = 5
-#: A context of the tree holds at least this share of the training bytes, so a depth has at most 1 / SHARE of them.
-SHARE = 1 / (1 << 15)
 #: Tokens with at least this share of the training tokens are shipped to the scorers; there are at most 1 / FREQUENT.
 FREQUENT = 1 / (1 << 17)
 #: The token that ends a text, and the byte that does: UTF-8 has none such.
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 STOP = 255
-_KEY = (1 << (8 * (DEPTH + 1))) - 1
+#: Grams whose subtrees a task builds at once, unless one pair of bytes has more, and bytes of text that it scores at once.
+FOREST, CHUNK = 400_000, 1 << 24
+_LN2 = float(np.log(2))
 
 
 def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +61,20 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counted(docs: DataFrame, of, name: str) -> DataFrame:
-    """(name, c): sums of the counts that of(data, off) gives for slices of the texts, summed within tasks first."""
+    """(name, c): how often the numbers that of(data, off) gives stand in texts that are not held out, summed within tasks first; 0
+    for those of held-out texts alone. docs: (text, held_out); of() gives numbers and the row of each."""
 
     def run(batches):
         keys, counts, held = [], [], 0
         for batch in batches:
             data, off = W.buffers(batch.column(0))
+            learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in W.slices(off):
-                u, c = np.unique(of(data[off[i] : off[j]], off[i : j + 1] - off[i]), return_counts=True)
+                k, row = of(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                order = np.argsort(k)
+                k = k[order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+                u, c = k[first], np.add.reduceat(learn[i:j][row[order]].astype(np.int64), first) if len(first) else first
                 keys.append(u)
                 counts.append(c)
                 held += len(u)
@@ -79,13 +89,18 @@ def _counted(docs: DataFrame, of, name: str) -> DataFrame:
             for i in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], [name, "c"])
 
-    return docs.select("text").mapInArrow(run, f"{name} long, c long").groupBy(name).agg(F.sum("c").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(run, f"{name} long, c long").groupBy(name).agg(F.sum("c").alias("c"))
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = W.LOWER[data]
-    s, e, _ = W.spans(low, off, W.NON_SPACE)
-    return np.concatenate([W.hashes(low, s, e), np.full(len(off) - 1, END)])
+    s, e, wo = W.spans(low, off, W.NON_SPACE)
+    return np.concatenate([W.hashes(low, s, e), np.full(len(off) - 1, END)]), np.concatenate([W.row_of(wo), np.arange(len(off) - 1)])
+
+
+def _gram_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, begin = _grams(data, off)
+    return keys, np.repeat(np.arange(len(off) - 1), np.diff(begin))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -97,16 +112,6 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - shift
 
 
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 at the 255 prefixes of a byte, in order of length; counts: (contexts, 256)."""
-    zero, one = [], []
-    for level in range(8):
-        c = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(-1)
-        zero.append(c[:, :, 0])
-        one.append(c[:, :, 1])
-    return np.concatenate(zero, 1), np.concatenate(one, 1)
-
-
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 where nothing was counted, as at most nodes; the rest in pieces that stay in the processor's cache."""
     out = np.zeros(a.shape)
@@ -119,120 +124,159 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-class Model:
-    """For each depth the kept contexts in order and the row of each; for each row the log10 probabilities of the 256 bytes."""
-
-    def __init__(self, contexts: list[np.ndarray], base: list[int], table: np.ndarray):
-        self.contexts, self.base, self.table = contexts, base, table
-        self._cache: tuple[np.ndarray, np.ndarray] | None = None
-
-    def _exact(self, keys: np.ndarray) -> np.ndarray:
-        row = np.zeros(len(keys), np.int64)
-        for d in range(1, DEPTH + 1):
-            ctx = (keys >> 8) & ((1 << (8 * d)) - 1)
-            known = self.contexts[d]
-            if not len(known):
-                break
-            at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-            hit = known[at] == ctx
-            row[hit] = self.base[d] + at[hit]  # a context is kept only if its parent is, so the deepest wins
-        return self.table[row, keys & 255]
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Probabilities of the grams' last bytes. The grams met last are remembered by a hash of fixed size."""
-        if self._cache is None:
-            self._cache = (np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.float32))
-        seen, value = self._cache
-        h = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        out = value[h]
-        miss = np.flatnonzero(seen[h] != keys)
-        if len(miss):
-            u, inv = np.unique(keys[miss], return_inverse=True)
-            v = self._exact(u)
-            out[miss] = v[inv]
-            at = h[miss]
-            seen[at] = keys[miss]
-            value[at] = self._exact_of(seen[at], keys[miss], v[inv])
-        return out
-
-    @staticmethod
-    def _exact_of(kept: np.ndarray, keys: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Where several new grams share a place, the value of the one that stayed."""
-        order = np.argsort(keys, kind="stable")
-        return v[order[np.searchsorted(keys[order], kept)]]
-
-
-def build(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """rows[d]: (contexts in order, (contexts, 256) counts) of the kept contexts of depth d."""
-    contexts = [r[0] for r in rows]
-    base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).tolist()
-    parents = [None] + [np.searchsorted(contexts[d - 1], contexts[d] & ((1 << (8 * (d - 1))) - 1)) for d in range(1, DEPTH + 1)]
-    kept: list[dict] = [{} for _ in rows]
-    below = None
-    for d in range(DEPTH, -1, -1):  # from the leaves: how much each node keeps to itself
-        a, b = _nodes(rows[d][1].astype(np.float64))
-        own = _log_kt(a, b)
-        n = len(contexts[d])
-        rest = rows[d][1].astype(np.float64).copy()
-        product = np.zeros_like(own)
-        has = np.zeros(n, bool)
-        if d < DEPTH and len(contexts[d + 1]):
-            p = parents[d + 1]
-            np.add.at(product, p, below)
-            np.subtract.at(rest, p, rows[d + 1][1])
-            has[p] = True
-        ra, rb = _nodes(rest)
-        product += np.where(has[:, None], _log_kt(ra, rb), 0)
-        weighted = np.where(has[:, None], np.logaddexp(own, product) - np.log(2), own)
-        stay = np.where(has[:, None], np.exp(np.minimum(0, own - np.log(2) - weighted)), 1.0)
-        kept[d] = {"a": a.astype(np.float32), "b": b.astype(np.float32), "ra": ra.astype(np.float32), "rb": rb.astype(np.float32), "stay": stay.astype(np.float32)}
-        below = weighted
-    table, above = [], None
-    for d, k in enumerate(kept):  # from the root: what the depths above have said, and the share left to say
-        n = len(contexts[d])
-        said = np.zeros((n, 255)) if d == 0 else above["said"][parents[d]]
-        left = np.ones((n, 255)) if d == 0 else above["left"][parents[d]]
-        fall = np.full((n, 255), 0.5) if d == 0 else above["p"][parents[d]]
-        seen, rest = k["a"] + k["b"], k["ra"] + k["rb"]
-        kt = np.where(seen > 0, (k["b"] + 0.5) / (seen + 1), fall)
-        other = np.where(rest > 0, (k["rb"] + 0.5) / (rest + 1), kt)
-        p = said + left * (k["stay"] * kt + (1 - k["stay"]) * other)
-        above = {"said": said + left * k["stay"] * kt, "left": left * (1 - k["stay"]), "p": p}
-        p = np.clip(p, 1e-12, 1 - 1e-12)
-        out = np.zeros((n, 1))
+def _weighted(own: np.ndarray, below: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the weighted probability of nodes with children, and the share that a node keeps to itself."""
+    lw = np.where(seen, np.logaddexp(own, below) - _LN2, 0.0)
+    return lw, np.where(seen, np.exp(np.minimum(0.0, own - _LN2 - lw)), 1.0)
+
+
+def _subtrees(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys: the distinct grams of some pairs of nearest bytes, all of each. Returns (grams, 8): the probability of each bit of the last
+    byte by the contexts of two bytes or more, NaN where not even that of two was seen; and for the prefixes under one byte of
+    context, as byte << 8 | prefix, the sum of the logarithms of their children's weighted probabilities."""
+    level = np.arange(8)
+    byte = keys & 255
+    prefix = (1 << level) | (byte[:, None] >> (8 - level))
+    bit = (byte[:, None] >> (7 - level)) & 1
+    depths = []
+    for d in range(2, DEPTH + 1):
+        ids = ((keys >> 8) & ((1 << (8 * d)) - 1))[:, None] << 8 | prefix
+        names, at = np.unique(ids.ravel(), return_inverse=True)
+        ones = np.bincount(at, (bit * count[:, None]).ravel(), len(names))
+        depths.append((names, at.reshape(ids.shape), np.bincount(at, np.repeat(count, 8).astype(float), len(names)) - ones, ones))
+    below, shares = None, []
+    for d in range(DEPTH, 1, -1):
+        names, at, zeros, ones = depths[d - 2]
+        seen, own = zeros + ones > 0, _log_kt(zeros, ones)
+        lw, stay = (own, np.ones(len(own))) if d == DEPTH else _weighted(own, below, seen)
+        shares.append((at, seen, stay, (ones + 0.5) / (zeros + ones + 1)))
+        parent = ((names >> 8) & ((1 << (8 * (d - 1))) - 1)) << 8 | names & 255
+        if d > 2:
+            below = np.bincount(np.searchsorted(depths[d - 3][0], parent), lw, len(depths[d - 3][0]))
+    top, at = np.unique(parent, return_inverse=True)
+    q = None
+    for at_, seen, stay, one in shares:
+        p = np.where(bit == 1, one[at_], 1 - one[at_])
+        q = np.where(seen[at_], p if q is None else np.where(np.isnan(q), p, stay[at_] * p + (1 - stay[at_]) * q), np.nan)
+    return q, top, np.bincount(at, lw, len(top))
+
+
+class Root:
+    """The nodes without context and with one byte of it, for all 255 prefixes; 256 * 256 numbers whatever the corpus."""
+
+    def __init__(self, counts: np.ndarray, below: np.ndarray):
+        """counts: (byte of context, byte): how often; below: (byte of context, prefix): what _subtrees() gave, summed."""
+        zeros, ones = np.zeros((256, 256)), np.zeros((256, 256))
         for level in range(8):
-            q = p[:, (1 << level) - 1 : (2 << level) - 1]
-            out = np.stack([out + np.log10(1 - q), out + np.log10(q)], axis=2).reshape(n, -1)
-        table.append(out.astype(np.float32))
-    return Model(contexts, base, np.concatenate(table))
-
-
-def train(docs: DataFrame, share: float = SHARE) -> Model:
-    """The model of the texts of docs. What comes to the driver are the kept contexts' counts, at most 1 / share a depth."""
-    grams = stash(_counted(docs, lambda d, o: _grams(d, o)[0], "gram"), "grams")
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("g")) for d in range(DEPTH + 1)]))
-    sums = grams.select(depths.alias("x"), "c").groupBy("x.d", "x.g").agg(F.sum("c").alias("c"))
-    ctx = sums.groupBy("d", F.shiftright("g", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).alias("byte"), "c")).alias("bytes"))
-    got = ctx.where((F.col("n") >= max(2.0, share * total)) | (F.col("d") == 0)).toArrow()
-    depth, key, lists = got.column("d").to_numpy(), got.column("ctx").to_numpy(), got.column("bytes").combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int64)
-    flat = lists.flatten()
-    of, byte, count = np.repeat(np.arange(len(key)), sizes), flat.field(0).to_numpy(), flat.field(1).to_numpy()
-    rows = []
-    for d in range(DEPTH + 1):
-        mine = np.flatnonzero(depth == d)
-        mine = mine[np.argsort(key[mine])]
-        place = np.full(len(key), -1)
-        place[mine] = np.arange(len(mine))
-        dense = np.zeros((max(len(mine), 1) if d == 0 else len(mine), 256), np.float32)
-        sel = place[of] >= 0 if len(of) else np.zeros(0, bool)
-        dense[place[of[sel]], byte[sel].astype(np.int64)] = count[sel]
-        rows.append((key[mine] if len(mine) or d else np.zeros(1, np.int64), dense))
-    return build(rows)
-
-
-def scores(docs: DataFrame, *, divisor: int = 7, kept_back: int = 2, share: float = SHARE) -> DataFrame:
+            c = counts.reshape(256, 1 << level, 2, 128 >> level).sum(-1)
+            zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = c[:, :, 0], c[:, :, 1]
+        own, seen = _log_kt(zeros, ones), zeros + ones > 0
+        lw, self.stay = _weighted(own, below, seen)
+        self.seen, self.one = seen, (ones + 0.5) / (zeros + ones + 1)
+        a, b = zeros.sum(0), ones.sum(0)
+        self.seen0, self.one0 = a + b > 0, (b + 0.5) / (a + b + 1)
+        _, self.stay0 = _weighted(_log_kt(a, b), lw.sum(0), self.seen0)
+
+    def log10(self, keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of the grams' last bytes; q as _subtrees() gives it."""
+        level = np.arange(8)
+        byte, ctx = keys & 255, (keys >> 8) & 255
+        prefix = (1 << level) | (byte[:, None] >> (8 - level))
+        bit = (byte[:, None] >> (7 - level)) & 1
+        at = (ctx[:, None], prefix)
+        p = np.where(bit == 1, self.one[at], 1 - self.one[at])
+        q = np.where(self.seen[at], np.where(np.isnan(q), p, self.stay[at] * p + (1 - self.stay[at]) * q), np.nan)
+        p = np.where(bit == 1, self.one0[prefix], 1 - self.one0[prefix])
+        q = np.where(self.seen0[prefix], np.where(np.isnan(q), p, self.stay0[prefix] * p + (1 - self.stay0[prefix]) * q), 0.5)
+        return np.log10(np.maximum(q, 1e-12)).sum(axis=1)
+
+
+def _forest(grams: DataFrame) -> DataFrame:
+    """(gram, q) of all grams, and rows whose gram is -1 - (byte << 8 | prefix) with the sums of _subtrees(). Grams are dealt by the two
+    nearest bytes and come in their order, so that a task holds some whole pairs at a time."""
+
+    def out(keys, counts):
+        k, c = np.concatenate(keys), np.concatenate(counts)
+        q, top, sums = _subtrees(k, c.astype(float))
+        rows = np.zeros((len(top), 8))
+        rows[:, 0] = sums
+        both = np.concatenate([q, rows])
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), 8).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, -1 - top])), lists], ["gram", "q"])
+
+    def run(batches):
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(k):
+                continue
+            pair = (k >> 8) & 0xFFFF
+            if held + len(k) > FOREST:  # cut before the last pair, which may go on
+                cut = int(np.searchsorted(np.cumsum(np.append(0, pair[1:] != pair[:-1])), np.count_nonzero(pair[1:] != pair[:-1])))
+                if cut or (keys and (keys[-1][-1] >> 8) & 0xFFFF != pair[0]):
+                    done = keys + [k[:cut]] if cut else keys
+                    yield out(done, counts + [c[:cut]] if cut else counts)
+                    keys, counts, held, k, c = [], [], 0, k[cut:], c[cut:]
+            keys.append(k)
+            counts.append(c)
+            held += len(k)
+        if keys:
+            yield out(keys, counts)
+
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    return grams.select("gram", "c").withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").drop("pair").mapInArrow(run, "gram long, q array<double>")
+
+
+def train(docs: DataFrame) -> tuple[list[str], Root]:
+    """docs: (text, held_out). Learns from the texts that are not held out, and writes the grams of all texts, in order, with the
+    logarithm of the probability of their last bytes: the files, in order, and the nodes nearest the root."""
+    spark = docs.sparkSession
+    path = fresh(spark, "ctw-model", keep=True)
+    with scratch(spark):
+        grams = stash(_counted(docs, _gram_rows, "gram"), "grams")
+        forest = stash(_forest(grams), "ctw-forest")
+        counts, below = np.zeros((256, 256)), np.zeros((256, 256))
+        low = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("c").alias("c")).toArrow()
+        counts.ravel()[low.column("g").to_numpy()] = low.column("c").to_numpy()
+        sums = forest.where("gram < 0").groupBy("gram").agg(F.sum(F.col("q")[0]).alias("s")).toArrow()
+        below.ravel()[-1 - sums.column("gram").to_numpy()] = sums.column("s").to_numpy()
+        root = Root(counts, below)
+        shipped = Shipped(spark, root)
+
+        def run(batches):
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                for i in range(0, len(keys), 8192):
+                    k = keys[i : i + 8192]
+                    q = batch.column(1).slice(i, 8192).flatten().to_numpy(zero_copy_only=False).reshape(len(k), 8)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(shipped.value.log10(k, q).astype(np.float32))], ["gram", "p"])
+
+        table = forest.where("gram >= 0").mapInArrow(run, "gram long, p float")
+        table.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(path)
+    return sorted(spark.read.schema("gram long, p float").parquet(path).inputFiles()), root
+
+
+def _looked_up(files: list[str], grams: np.ndarray) -> np.ndarray:
+    """The numbers of the grams, which rise, from the table; a row group is held at a time."""
+    out = np.zeros(len(grams))
+    for name in files:
+        fs, path = open_fs(name)
+        with fs.open_input_file(path) as f:
+            table = pq.ParquetFile(f)
+            for g in range(table.num_row_groups):
+                part = table.read_row_group(g, columns=["gram", "p"])
+                key = part.column("gram").to_numpy()
+                if not len(key):
+                    continue
+                a, b = np.searchsorted(grams, key[0], "left"), np.searchsorted(grams, key[-1], "right")
+                if a < b:
+                    at = np.minimum(np.searchsorted(key, grams[a:b]), len(key) - 1)
+                    hit = key[at] == grams[a:b]
+                    out[a:b][hit] = part.column("p").to_numpy()[at[hit]]
+    return out
+
+
+def scores(docs: DataFrame, *, divisor: int = 7, kept_back: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     The model and the base learn from the documents whose crc32 of the id as text does not leave kept_back modulo divisor (a
@@ -242,38 +286,59 @@ def scores(docs: DataFrame, *, divisor: int = 7, kept_back: int = 2, share: floa
     score each. Without documents to learn from, c, N and V are 0, and every bit has probability one half. Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", divisor) == kept_back, F.lit(False)).alias("held_out"), "text")
-    learn = base.where("NOT held_out")
-    tokens = stash(_counted(learn, _tokens, "token"), "tokens")
+    with scratch(docs.sparkSession):
+        return stash(_scores(base), "ctw-scores", keep=True)
+
+
+def _scores(base: DataFrame) -> DataFrame:
+    tokens = stash(_counted(base.where("NOT held_out"), _tokens, "token"), "tokens")
     n, v = tokens.agg(F.sum("c"), F.count("*")).first()
     n = n or 0
     often = tokens.where(F.col("c") >= max(2.0, FREQUENT * n)).orderBy("token").toArrow() if n >= 1 / FREQUENT else tokens.where("c < 0").toArrow()
     found = often.column("token").to_numpy().view(np.uint64)
     order = np.argsort(found)
     logs = np.log10(often.column("c").to_numpy()[order].astype(float) + 1)
-    shipped = Shipped(docs.sparkSession, (train(learn, share), found[order], logs))
+    shipped = Shipped(base.sparkSession, (train(base)[0], found[order], logs))
 
-    def run(batches):
-        model, freq, logs = shipped.value
-        task, at = TaskContext.get().partitionId() << 33, 0
+    def chunks(batches):
+        """Some batches, and of each slice of their rows (batch, first, after, places of its grams among the chunk's); the chunk's grams."""
+        held, parts, size = [], [], 0
         for batch in batches:
             data, off = W.buffers(batch.column(2))
             for i, j in W.slices(off):
+                keys, begin = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                u, inv = np.unique(keys, return_inverse=True)
+                held.append(u)
+                parts.append((batch, data, off, i, j, begin, inv.astype(np.int32)))
+                size += int(off[j] - off[i])
+                if size >= CHUNK:
+                    yield held, parts
+                    held, parts, size = [], [], 0
+        if parts:
+            yield held, parts
+
+    def run(batches):
+        files, freq, logs = shipped.value
+        task, at = TaskContext.get().partitionId() << 33, 0
+        for held, parts in chunks(batches):
+            every = np.unique(np.concatenate(held))
+            p = _looked_up(files, every)
+            for u, (batch, data, off, i, j, begin, inv) in zip(held, parts, strict=True):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                keys, begin = _grams(part, o)
-                score = np.add.reduceat(model.log10(keys).astype(np.float64), begin[:-1])
+                score = np.add.reduceat(p[np.searchsorted(every, u)][inv], begin[:-1])
                 low = W.LOWER[part]
                 s, e, wo = W.spans(low, o, W.NON_SPACE)
                 h, row = W.hashes(low, s, e), W.row_of(wo)
                 h, row = np.append(h, np.full(j - i, END)), np.append(row, np.arange(j - i))
                 place = np.minimum(np.searchsorted(freq, h), max(len(freq) - 1, 0))
                 hit = freq[place] == h if len(freq) else np.zeros(len(h), bool)
-                sums, found = np.bincount(row[hit], logs[place[hit]], j - i), np.bincount(row[hit], minlength=j - i)
+                sums, known = np.bincount(row[hit], logs[place[hit]], j - i).astype(float), np.bincount(row[hit], minlength=j - i)
                 rare, rrow = h[~hit], row[~hit]
                 order = np.argsort(rrow, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rrow, minlength=j - i))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rare[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(task + at + np.arange(j - i)), *(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(np.diff(wo) + 1), pa.array(found.astype(np.int64)), pa.array(sums), pa.array(score), lists],
+                    [pa.array(task + at + np.arange(j - i)), *(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(np.diff(wo) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(score), lists],
                     ["uid", "doc_id", "held_out", "n_tokens", "found", "sums", "score", "rare"],
                 )
                 at += j - i

@@ -6,11 +6,13 @@ import atexit
 import contextlib
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
 
+from pyarrow import fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +92,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path of the shared folder, for workers that read it without Spark."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", path)))
+
+
 class Shipped:
     """An object broadcast with its classes by value, which broadcasts alone send by name."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import fresh, open_fs
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, "
@@ -72,10 +72,6 @@ def record(kind: str, rid: str, uri: str | None, date: str, digest: str | None,
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
-
-
 @dataclass
 class Files(InputPartition):
     """Whole files of one read task: (path, size)."""
