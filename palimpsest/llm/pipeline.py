@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, line deduplication, near duplicates, benchmark decontamination, mixing.
 
 Each stage takes what its predecessor kept, as Parquet, and its decisions take effect: toxic documents go, repeated lines are cut
-from texts, one document of each group of near duplicates stays, documents with benchmark passages go, and the mix says how
-many copies to take of the rest. All but the last return the columns of documents.
+from texts, and with them documents of which nothing is left, one document of each group of near duplicates stays, documents with
+benchmark passages go, and the mix says how many copies to take of the rest. All but the last return the columns of documents. Null and
+empty texts pass every filtering stage, as do null ids; repeated rows are kept or dropped together, and an empty table stays empty. What a
+near copy has of its own after line deduplication is a text of its own to the stages that follow.
 """
 
 from __future__ import annotations
@@ -10,17 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontaminate, linededup, minhash, mixing, toxicity
-from palimpsest.llm.shared import stash
+from palimpsest.llm.shared import scratch, stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score() of toxicity predicts to be toxic."""
+    """Without the documents that score() of toxicity predicts to be toxic. Without labels nothing is."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that stand elsewhere, short ones too; blank lines stay, and no document is dropped."""
-    return linededup.dedup_lines(docs, least=0, bits=None)
+    """Without lines that stand elsewhere, short ones too, and without documents all of whose lines do; blank lines stay."""
+    return linededup.dedup_lines(docs, least=0, bits=None, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents of a folder, with the rows of mix_sources(); a stage's table goes once the next one is written."""
+    with scratch(spark):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = stash(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        return stash(STAGES[-1][1](spark, docs, sf_dir), "stage-mixing", keep=True)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import ctw, decontaminate, fingerprint, linededup, minhash, mixing, quality, substrings, toxicity, warc
+from palimpsest.llm import pipeline as corpus
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,9 +77,9 @@ def op5_substrings(s, d):
     return substrings.dedup(_table(s, d, "documents")).drop("kept")
 
 
-@_query(corpus_pipeline.ORACLE_SQL)
+@_query(corpus.ORACLE_SQL)
 def pipeline(s, d):
-    return corpus_pipeline.run(s, d)
+    return corpus.run(s, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,12 +45,8 @@ def base32(digest: bytes) -> str:
 
 
 def _clean(value: str) -> str:
-    """A header's value keeps to its line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unclean(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    """A header's value keeps to its line; a line break has no place in an address and is escaped, all else stands as it is."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def member(block: bytes, level: int = 3) -> bytes:
@@ -164,8 +160,6 @@ def _value(headers: dict[str, str], column: str):
         return v.strip("<>")
     if column == "payload_digest":
         return v.rpartition(":")[2]
-    if column == "target_uri":
-        return _unclean(v)
     return int(v) if column == "payload_length" else v
 
 
@@ -178,9 +172,11 @@ class WarcReader(DataSourceReader):
         self.schema = schema
 
     def pushFilters(self, filters):
-        """Equality, membership, prefixes and presence of header columns are decided here; the rest goes back to Spark."""
+        """Equality, membership, prefixes and presence of header columns are decided here; the rest goes back to Spark, and so does what
+        is asked of the payload's length: archives of others do not state it in a header."""
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            column = None if column == "payload_length" else column
             if column in HEADERS and isinstance(f, EqualTo):
                 self.tests.append((column, "in", (f.value,)))
             elif column in HEADERS and isinstance(f, In):
@@ -214,7 +210,8 @@ class WarcReader(DataSourceReader):
             v = _value(headers, column)
             if v is None or how == "in" and v not in args or how == "starts" and not v.startswith(args[0]):
                 return False
-        return True if "payload" in self.columns and headers.get("warc-type") != "revisit" else None
+        unknown = "payload_length" in self.columns and HEADERS["payload_length"] not in headers
+        return True if ("payload" in self.columns or unknown) and headers.get("warc-type") != "revisit" else None
 
     def read(self, partition):
         fs, _ = open_fs(self.path)

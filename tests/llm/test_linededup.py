@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 
 from palimpsest.llm import linededup as L
 from palimpsest.llm import words as W
+from palimpsest.llm.edits import within
 
 
 def norm(line):
@@ -129,3 +131,46 @@ def test_short_lines(spark):
     data = [(1, "short one\n- - -\nä"), (2, "Short, one!\n---\nä\n \n- - -"), (3, "ä\n\n \n"), (None, "short one")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert {r.doc_id: r.text for r in L.dedup_lines(df, least=0, bits=None).collect()} == {1: data[0][1], 2: "---\n ", 3: "\n \n", None: ""}
+
+
+def test_bit_vectors_equal_the_table():
+    r = random.Random(1)
+    for _ in range(300):
+        a = "".join(r.choice("abcdé😀 ") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 130])))
+        b = list(a)
+        for _ in range(r.randrange(0, len(a) // 3 + 3)):
+            p = r.randrange(len(b) + 1)
+            b[p : p + r.randrange(2)] = r.choice(["", "x", "yé"])
+        b = "".join(b) if r.random() > 0.1 else "".join(r.choice("abcd") for _ in range(r.randrange(90)))
+        d = distance(a, b)
+        assert all(within(a, b, m) == (d <= m) for m in (0, d - 1, d, d + 1, max(len(a), len(b)) // 5))
+
+
+def test_recall_of_edit_similarity(spark, sf):
+    """Over all lines and by edit similarity alone: nothing is cut that brute force keeps, and nearly all is that it cuts."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    nodes = {}
+    for d, t in docs.items():
+        for i, line in enumerate((t or "").split("\n")):
+            if x := " ".join(norm(line)) or line.strip() and "\0" + line.strip():
+                nodes.setdefault(x, []).append((d, i))
+    names = sorted(nodes, key=len)
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, b in enumerate(names):
+        for a in reversed(names[:j]):
+            if len(a) * 5 < len(b) * 4:
+                break
+            if "\0" not in (a[0], b[0]) and find(a) != find(b) and within(a, b, len(b) // 5):
+                root[find(a)] = find(b)
+    groups = {}
+    for x in names:
+        groups.setdefault(find(x), []).extend(nodes[x])
+    want = {o for g in groups.values() for o in g if o != min(g)}
+    got = {(r.doc_id, i) for r in L.removals(spark.read.parquet(f"{sf}/documents.parquet"), least=0, bits=None).collect() for i in r.lines}
+    assert got <= want and len(got) >= 0.97 * len(want) > 100

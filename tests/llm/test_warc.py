@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import warc as W
@@ -41,11 +42,11 @@ def test_edge_cases(spark):
 
 def test_pushdown_and_foreign_files(spark, tmp_path):
     path = f"file://{tmp_path}/w"
-    W.archive(spark.createDataFrame([(i, f"http://h{i % 2}/%41\n{i}", "same" if i % 3 else f"page {i}") for i in range(60)], "page_id long, url string, html string"), path)
+    W.archive(spark.createDataFrame([(i, f"http://h{i % 2}/%41?a=%250A{i}", "same" if i % 3 else f"page {i}") for i in range(60)], "page_id long, url string, html string"), path)
     df = W.read(spark, path, ["record_type", "target_uri", "payload"]).where("record_type = 'response' AND startswith(target_uri, 'http://h1/') AND length(target_uri) > 3")
     plan = df._jdf.queryExecution().toString()
-    assert "PushedFilters" not in plan or "record_type" in plan
-    assert {r.target_uri for r in df.collect()} == {f"http://h1/%41\n{i}" for i in range(1, 60) if i % 2 and (i % 3 == 0 or i == 1)}
+    assert "record_type" in plan
+    assert {r.target_uri for r in df.collect()} == {f"http://h1/%41?a=%250A{i}" for i in range(1, 60) if i % 2 and (i % 3 == 0 or i == 1)}
     skipped = W.read(spark, path, ["record_type", "payload_length"]).groupBy("record_type").agg(F.sum("payload_length").alias("n")).collect()
     assert {r.record_type: r.n for r in skipped}["revisit"] == 39 * 4
     block = W.record("response", "urn:page:1", "u", "2024-01-01T00:00:00Z", None, None, 2, b"hi")
@@ -55,6 +56,15 @@ def test_pushdown_and_foreign_files(spark, tmp_path):
         got = W.read(spark, f"{tmp_path}/{name}", ["offset", "payload"]).collect()
         assert [bytes(r.payload) for r in got] == [b"hi"] * 3
         assert W.read(spark, f"{tmp_path}/{name}", ["record_type"]).where("record_type = 'request'").count() == 0
+    bare = block.replace(b"X-Payload-Length: 2\r\n", b"").replace(b"Target-URI: u", b"Target-URI: http://x/%0A%25")
+    (tmp_path / "bare.warc").write_bytes(bare)
+    got = W.read(spark, f"{tmp_path}/bare.warc", ["target_uri", "payload_length"]).where("payload_length = 2").collect()
+    assert [(r.target_uri, r.payload_length) for r in got] == [("http://x/%0A%25", 2)]
+    (tmp_path / "breaks.warc").write_bytes(W.record("response", "urn:page:1", "a\r\nb", "2024-01-01T00:00:00Z", None, None, 2, b"hi"))
+    assert W.read(spark, f"{tmp_path}/breaks.warc", ["target_uri"]).first().target_uri == "a%0D%0Ab"
+    (tmp_path / "cut.warc.gz").write_bytes(W.member(block)[:-20])
+    with pytest.raises(Exception, match="cut off|no WARC header|incomplete"):
+        W.read(spark, f"{tmp_path}/cut.warc.gz", ["payload"]).collect()
 
 
 def test_reader_takes_filters_and_skips_payloads():
