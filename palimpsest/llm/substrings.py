@@ -175,7 +175,7 @@ def removals(docs: DataFrame, batches: int = 2, fan: int = 4) -> DataFrame:
         return stash(out.withColumn("starts", F.array_sort("starts")), "removals", keep=True)
 
 
-def dedup(docs: DataFrame, *, batches: int = 4, fan: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, *, batches: int = 2, fan: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space).
 
     Words are runs between ASCII white space, unchanged. A word goes if a window of 20 words that covers it stands earlier too: in a
