@@ -14,15 +14,32 @@ from palimpsest.llm.shared import Shipped, stash
 
 #: Bits of a membership filter, at least and at most (64 MB).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
+#: Leaders of a bucket in each round.
+LEADERS = (1, 8)
+
+
+def _stars(ranked: DataFrame, label: DataFrame | None, features: DataFrame, near: Callable[[Column, Column], Column], leaders: int, seed: int) -> DataFrame:
+    """(a, b), a < b: the pairs of a bucket's leaders with its nodes of other components that are near. A bucket's nodes fall into as many
+    parts as it has leaders, each led by the node that meets most, at seed 0, or by one that the seed draws: what meets most is often
+    joined by a passage that many nodes have, and like none of them."""
+    rows = ranked.withColumn("root", F.col("node")) if label is None else ranked.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    draw = F.xxhash64(F.lit(seed), "node")
+    rank = F.struct(F.shiftright(draw, 8) if seed else F.col("meets"), "node", "root")
+    best = F.array(*[F.max(F.when(F.pmod(draw, F.lit(leaders)) == i, rank)) for i in range(leaders)])
+    lead = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_compact(best).alias("leads")).where("lo <> hi")
+    lead = lead.select("key", F.explode("leads").alias("lead")).select("key", F.col("lead.node").alias("lead"), F.col("lead.root").alias("other"))
+    pairs = rows.join(lead, "key").where("root <> other").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    pairs = pairs.join(features.select(F.col("node").alias("a"), F.col("f").alias("x")), "a")
+    return pairs.join(features.select(F.col("node").alias("b"), F.col("f").alias("y")), "b").where(near(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None, keys: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of nodes over confirmed links: (node, root) of the nodes that have a link.
 
     member: (key, node), repeats allowed; only nodes of one key are compared. features: (node, f), a struct that near() compares,
-    cheaply; confirm() takes pairs (a, b) and returns those that are links. In each bucket all nodes are
-    compared with its leader, the one that meets most others in all its buckets; then, only where a bucket still holds several
-    components, nodes of different ones are compared with each other. Within a component no further link is looked for.
+    cheaply; confirm() takes pairs (a, b) and returns those that are links. In rounds, nodes of each bucket that holds several
+    components are compared with leaders in it: as many pairs as LEADERS says for each row, whatever the bucket's size. Last, where a bucket still holds several components, nodes of different ones are
+    compared with each other. Within a component no further link is looked for.
     Buckets are joined, never dealt by hand, so that Spark splits a large one over tasks.
 
     held: a function from nodes to (node, full), and the test of two such values. The last comparison then makes that test where it
@@ -34,12 +51,12 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
     member = stash(member.join(shared, "key").groupBy("key", "node").agg(F.max("c").alias("c")), f"{name}-buckets")  # only nodes that meet another
     meets = member.groupBy("node").agg(F.sum("c").alias("meets"))
     ranked = member.select("key", "node").join(meets, "node")
-    lead = ranked.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("lead")).select("key", "lead.node").withColumnRenamed("node", "lead")
-    stars = member.select("key", "node").join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(features.select(F.col("node").alias("a"), F.col("f").alias("x")), "a")
-    stars = stars.join(features.select(F.col("node").alias("b"), F.col("f").alias("y")), "b").where(near(F.col("x"), F.col("y")))
-    first = stash(confirm(stash(stars.select("a", "b"), f"{name}-pairs")), f"{name}-links")
-    label = stash(components(first), f"{name}-first")
+    label = None
+    for seed, leaders in enumerate(LEADERS):
+        pairs = stash(_stars(ranked, label, features, near, leaders, seed), f"{name}-pairs")
+        links = stash(confirm(pairs), f"{name}-links")
+        known = links if label is None else links.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        label = stash(components(known), f"{name}-joined")
     within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     within = within.join(mixed, "key").join(features, "node")
