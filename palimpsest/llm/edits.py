@@ -55,6 +55,8 @@ def within(a: str, b: str, most: int) -> bool:
 def close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, ta, tb) the (a, b) whose texts differ by at most 100 - percent per cent of the longer one."""
     for batch in batches:
-        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = pa.array([within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts], pa.bool_())
-        yield batch.select([0, 1]).filter(keep)
+        for i in range(0, len(batch), 512):  # few texts at a time as Python's strings
+            part = batch.slice(i, 512)
+            texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+            keep = pa.array([within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts], pa.bool_())
+            yield part.select([0, 1]).filter(keep)

@@ -5,7 +5,8 @@ are linked if the edit distance of their normalised texts is small against the l
 first occurrence stays. SimHashes of lines a fifth of whose characters differ are 10 to 20 bits apart, too far for blocks of a pigeonhole:
 so pairs to compare meet in ANCHORS minima of word triples, taken from as many parts of the hash's range and preferring long triples,
 which are rare, and short lines in bands of 4-byte grams too. A pair that has met is dropped if its lengths, or the SimHashes of its word
-pairs, differ too much; the rest is decided by the edit distance alone.
+pairs, differ too much; the rest is decided by the edit distance alone. Short lines meet by chance, as often as the square of their number:
+their pairs are decided where they meet, by a bound from counts of their letters, then by the distance itself, and leave links only.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from palimpsest.llm.shared import free, scratch, stash
 ANCHORS, BRIEF, SHORT = 6, (4, 2, 8), 48
 #: Bits in which the SimHashes of linked lines may differ where a caller limits them.
 DISTANCE = 3
-#: Bits in which SimHashes of word pairs may differ for a pair to be compared, where one of its lines has more than SIFTED characters.
+#: Bits in which SimHashes of word pairs may differ for a pair to be compared, where one of its lines has more than SIFTED characters;
+#: other pairs carry their texts and letters.
 SIFT, SIFTED = 20, 64
+#: Columns of the short lines alone.
+BRIEFLY = ("text", "w0", "w1", "w2", "w3")
 
 #: Stands for a null id, which comes last.
 _LAST = (1 << 63) - 1
@@ -160,8 +164,25 @@ def _anchors(n: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(found == 0, found.max(axis=1, keepdims=True), found).view(np.int64)
 
 
-def _keys(n: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Characters of the normalised lines, and (lines, keys) of all and of the short ones."""
+def _letters(begin: np.ndarray, buf: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """(lines, 4): of each of 32 classes of code points, by their last bytes, a byte with a bit for each up to eight that the line has. An
+    edit adds one bit at most and takes one at most."""
+    row = np.repeat(np.cumsum(pick) - 1, np.diff(begin))
+    keep = np.repeat(pick, np.diff(begin)) & np.append((buf[1:] & 0xC0) != 0x80, True)
+    count = np.bincount(row[keep] * 32 + (buf[keep] & 31), minlength=32 * int(pick.sum()))
+    return ((1 << np.minimum(count, 8)) - 1).astype(np.uint8).view("<i8").reshape(-1, 4)
+
+
+def _strings(begin: np.ndarray, buf: np.ndarray, pick: np.ndarray) -> pa.Array:
+    """The texts of the lines picked."""
+    at, size = begin[:-1][pick] + 1, np.diff(begin)[pick] - 2
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    data = buf[np.repeat(at, size) + inside]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data))
+
+
+def _keys(n: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """Characters of the normalised lines, (lines, keys) of all and of the short ones, and what _plain() gives."""
     buf, begin = _plain(n, s, e, low)
     chars = np.add.reduceat(((buf & 0xC0) != 0x80).astype(np.int64), begin[:-1]) - 2
     out = [(np.arange(len(n)), _anchors(n, h, e - s))]
@@ -171,12 +192,13 @@ def _keys(n: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.nd
         f, row = _byte_grams(begin, buf, size)
         keep = mine[row]
         out.append((np.flatnonzero(mine), _bands(f[keep], (np.cumsum(mine) - 1)[row[keep]], int(mine.sum()), 0x2545F491, r, b)))
-    return chars, out
+    return chars, out, (buf, begin)
 
 
 def _occurrences(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
-    """(node, doc_id, line, chars, sim, keys) of lines; keys are null where the same line has stood shortly before, and where there
-    are no words. sim: of single words where bits limits the links, else of pairs."""
+    """(node, doc_id, line, chars, sim, keys, text, w0 to w3) of lines; keys are null where the same line has stood shortly before, and where
+    there are no words. sim: of single words where bits limits the links, else of pairs, and then short lines with keys have their text and
+    letters."""
 
     def run(batches):
         for batch in batches:
@@ -192,11 +214,15 @@ def _occurrences(docs: DataFrame, least: int, percent: int, bits: int | None) ->
                 words = np.repeat(mine, n)
                 n, h, s, e = n[mine], h[words], s[words], e[words]
                 chars, sim, lists = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-                flat = np.zeros(0, np.int64)
+                flat, brief = np.zeros(0, np.int64), np.zeros(len(node), bool)
+                texts, letters = pa.array([], pa.string()), np.zeros((0, 4), np.int64)
                 if len(n):
                     grams, row = (h, np.repeat(np.arange(len(n)), n)) if bits is not None else _word_grams(n, h, e - s, 2)[:2]
                     sim[mine] = _simhash(grams, np.bincount(row, minlength=len(n)))
-                    chars[mine], found = _keys(n, h, s, e, low, percent)
+                    chars[mine], found, (buf, begin) = _keys(n, h, s, e, low, percent)
+                    if bits is None:
+                        brief = mine & (chars <= SIFTED)
+                        texts, letters = _strings(begin, buf, brief[mine]), _letters(begin, buf, brief[mine])
                     owner = np.concatenate([np.repeat(pick, k.shape[1]) for pick, k in found])
                     flat = np.concatenate([k.ravel() for _, k in found])
                     order = np.lexsort((flat, owner))
@@ -208,15 +234,18 @@ def _occurrences(docs: DataFrame, least: int, percent: int, bits: int | None) ->
                     more, other = _wordless(part, starts, ends)
                     line, node = np.append(line, more), np.append(node, other)
                     z = np.zeros(len(more), np.int64)
-                    chars, sim, lists, mine = np.append(chars, z), np.append(sim, z), np.append(lists, z), np.append(mine, z > 0)
+                    chars, sim, lists, mine, brief = np.append(chars, z), np.append(sim, z), np.append(lists, z), np.append(mine, z > 0), np.append(brief, z > 0)
                 row = np.searchsorted(at, line, "right") - 1
                 offsets = pa.array(np.append(0, np.cumsum(lists)).astype(np.int32), mask=np.append(~mine, False))
+                own = pa.array(np.cumsum(brief) - 1, mask=~brief)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row]), pa.array(chars), pa.array(sim), pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                    ["node", "doc_id", "line", "chars", "sim", "keys"],
+                    [pa.array(node), ids.slice(i, j - i).take(pa.array(row)), pa.array(line - at[row]), pa.array(chars), pa.array(sim), pa.ListArray.from_arrays(offsets, pa.array(flat)), texts.take(own)]
+                    + [pa.array(letters[:, k]).take(own) for k in range(4)],
+                    ["node", "doc_id", "line", "chars", "sim", "keys", "text", "w0", "w1", "w2", "w3"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, doc_id long, line long, chars long, sim long, keys array<long>")
+    schema = "node long, doc_id long, line long, chars long, sim long, keys array<long>, text string, w0 long, w1 long, w2 long, w3 long"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _spot(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -271,14 +300,24 @@ def removals(docs: DataFrame, *, least: int = 5, percent: int = 80, bits: int |
 def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> DataFrame:
     occ = stash(_occurrences(docs, least, percent, bits), "lines")
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "line")
-    nodes = occ.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.max("chars").alias("chars"), F.max(F.when(F.col("keys").isNotNull(), F.col("sim"))).alias("sim"))
+    what = [F.max("chars").alias("chars"), F.max(F.when(F.col("keys").isNotNull(), F.col("sim"))).alias("sim"), *[F.max(c).alias(c) for c in BRIEFLY]]
+    nodes = occ.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c"), *what)
     nodes = stash(nodes, "line-nodes")
 
     def near(x: Column, y: Column) -> Column:
         longest = F.greatest(x["chars"], y["chars"])
         alike = F.abs(x["chars"] - y["chars"]) * 100 <= longest * (100 - percent)
         apart = F.bit_count(x["sim"].bitwiseXOR(y["sim"]))
-        return alike & ((apart <= bits) if bits is not None else (longest <= SIFTED) | (apart <= SIFT))
+        if bits is not None:
+            return alike & (apart <= bits)
+        most = longest * (100 - percent)
+
+        def more(p: Column, q: Column) -> Column:
+            return sum((F.bit_count(p[c].bitwiseAND(F.bitwise_not(q[c]))) for c in BRIEFLY[1:]), F.lit(0))
+
+        edits = F.levenshtein(x["text"], y["text"], SIFTED * (100 - percent) // 100)
+        brief = (more(x, y) * 100 <= most) & (more(y, x) * 100 <= most) & (edits >= 0) & (edits * 100 <= most)
+        return alike & F.when(longest <= SIFTED, brief).otherwise(apart <= SIFT)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -288,7 +327,7 @@ def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> Da
         return p.select("a", "b", "ta", "tb").mapInArrow(lambda batches: close(batches, percent), "a long, b long")
 
     member = occ.select("node", F.explode("keys").alias("key"))
-    label = grouped(member, nodes.select("node", F.struct("chars", "sim").alias("f")), near, confirm, "lines")
+    label = grouped(member, nodes.select("node", F.struct("chars", "sim", *BRIEFLY).alias("f")), near, confirm, "lines")
     linked = nodes.join(label, "node", "left").select("node", "first", "c", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     firsts = linked.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
     keep = linked.where("c > 1 OR fuzzy").join(firsts, "root", "left").select("node", F.coalesce("keep", "first").alias("keep"))

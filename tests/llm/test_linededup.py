@@ -174,3 +174,43 @@ def test_recall_of_edit_similarity(spark, sf):
     want = {o for g in groups.values() for o in g if o != min(g)}
     got = {(r.doc_id, i) for r in L.removals(spark.read.parquet(f"{sf}/documents.parquet"), least=0, bits=None).collect() for i in r.lines}
     assert got <= want and len(got) >= 0.97 * len(want) > 100
+
+
+def test_letters_bound_edits():
+    """Letters never tell more edits than there are, for code points of one to four bytes."""
+    rng, signs = random.Random(5), "abcdeé ßж漢😀x "
+    for _ in range(300):
+        a = "".join(rng.choice(signs) for _ in range(rng.randint(1, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.choice(signs)] if rng.random() < 0.7 else []
+        b, most = "".join(b), 0
+        data, off = W.buffers(pa.array([f" {a} ", f" {b} "]))
+        x, y = L._letters(off, data, np.ones(2, bool)).view(np.uint64)
+        most = max(int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum()))
+        assert most <= distance(a, b)
+        assert L._strings(off, data, np.ones(2, bool)).to_pylist() == [a, b]
+
+
+def test_short_lines_that_meet_leave_no_pairs(spark, monkeypatch):
+    """Short lines of a few common words meet by the square of their number; links alone are left to confirm."""
+    rng = random.Random(3)
+    words = ["thing", "ation", "there", "other", "ingly", "ouren", "blesh", "oning", "thert", "eaten"]
+    lines = [" ".join(rng.choice(words) for _ in range(7)) for _ in range(300)]
+    lines += [line[:20] + "x" + line[21:] for line in lines[:20]]
+    told, real = [], L.grouped
+
+    def grouped(member, features, near, confirm, name):
+        def seen(pairs):
+            told.extend((r.a, r.b) for r in pairs.collect())
+            return confirm(pairs)
+
+        return real(member, features, near, seen, name)
+
+    monkeypatch.setattr(L, "grouped", grouped)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in L.removals(docs, least=0, bits=None).collect()}
+    n = {norm_: {i for i, x in enumerate(lines) if " ".join(norm(x)) == norm_} for norm_ in {" ".join(norm(x)) for x in lines}}
+    links = sum(within(a, b, max(len(a), len(b)) // 5) for a in n for b in n if a < b)
+    assert 0 < len(set(told)) <= links and set(range(300, 320)) <= gone
