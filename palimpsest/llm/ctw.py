@@ -31,6 +31,8 @@ END = np.uint64(0xE0DE0DE0DE0DE0D1)
 STOP = 255
 #: Grams whose subtrees a task builds at once, unless one pair of bytes has more, and bytes of text that it scores at once.
 FOREST, CHUNK = 400_000, 1 << 24
+#: Rows of the table of grams that a lookup holds at once.
+ROWS = 1 << 16
 _LN2 = float(np.log(2))
 
 
@@ -257,14 +259,12 @@ def train(docs: DataFrame) -> tuple[list[str], Root]:
 
 
 def _looked_up(files: list[str], grams: np.ndarray) -> np.ndarray:
-    """The numbers of the grams, which rise, from the table; a row group is held at a time."""
+    """The numbers of the grams, which rise, from the table; ROWS of it are held at a time, whatever the size of its row groups."""
     out = np.zeros(len(grams))
     for name in files:
         fs, path = open_fs(name)
         with fs.open_input_file(path) as f:
-            table = pq.ParquetFile(f)
-            for g in range(table.num_row_groups):
-                part = table.read_row_group(g, columns=["gram", "p"])
+            for part in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(ROWS, columns=["gram", "p"]):
                 key = part.column("gram").to_numpy()
                 if not len(key):
                     continue
@@ -309,7 +309,7 @@ def _scores(base: DataFrame) -> DataFrame:
                 keys, begin = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 u, inv = np.unique(keys, return_inverse=True)
                 held.append(u)
-                parts.append((batch, data, off, i, j, begin, inv.astype(np.int32)))
+                parts.append((batch, data, off, i, j, begin, inv.astype(np.uint16 if len(u) <= 1 << 16 else np.int32)))
                 size += int(off[j] - off[i])
                 if size >= CHUNK:
                     yield held, parts
@@ -322,10 +322,14 @@ def _scores(base: DataFrame) -> DataFrame:
         task, at = TaskContext.get().partitionId() << 33, 0
         for held, parts in chunks(batches):
             every = np.unique(np.concatenate(held))
+            for k, u in enumerate(held):  # 4 bytes a gram from here
+                held[k] = np.searchsorted(every, u).astype(np.int32)
+            del u
             p = _looked_up(files, every)
-            for u, (batch, data, off, i, j, begin, inv) in zip(held, parts, strict=True):
+            del every
+            for place_of, (batch, data, off, i, j, begin, inv) in zip(held, parts, strict=True):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                score = np.add.reduceat(p[np.searchsorted(every, u)][inv], begin[:-1])
+                score = np.add.reduceat(p[place_of][inv], begin[:-1])
                 low = W.LOWER[part]
                 s, e, wo = W.spans(low, o, W.NON_SPACE)
                 h, row = W.hashes(low, s, e), W.row_of(wo)
@@ -342,6 +346,9 @@ def _scores(base: DataFrame) -> DataFrame:
                     ["uid", "doc_id", "held_out", "n_tokens", "found", "sums", "score", "rare"],
                 )
                 at += j - i
+            held.clear()  # before the next chunk is gathered
+            parts.clear()
+            del p
 
     d = stash(base.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, found long, sums double, score double, rare array<long>"), "scored")
     rare = d.select("uid", F.explode("rare").alias("token")).groupBy("uid", "token").agg(F.count("*").alias("t")).join(tokens, "token")

@@ -122,3 +122,22 @@ def test_edge_cases(spark):
         got = C.scores(spark.createDataFrame(d, "doc_id long, text string").selectExpr("*", "1 AS score")).collect()
         assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == brute(d)
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_lookup_holds_few_rows(tmp_path):
+    """A row group of any size passes in batches, and every gram is found, at their edges too."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 1_000_000
+    path, gram = tmp_path / "grams.parquet", np.arange(n, dtype=np.int64) * 3
+    pq.write_table(pa.table({"gram": gram, "p": (gram % 1000).astype(np.float32)}), path, row_group_size=n)
+    asked = np.unique(np.concatenate([gram[::7], gram[65535::65536], gram[::65536], gram[:1000] + 1]))
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = C._looked_up([f"file://{path}"], asked)
+    finally:
+        pa.set_memory_pool(before)
+    assert np.array_equal(got, np.where(asked % 3 == 0, asked % 1000, 0))
+    assert pool.max_memory() < 12 * n / 2
