@@ -29,8 +29,9 @@ FREQUENT = 1 / (1 << 17)
 #: The token that ends a text, and the byte that does: UTF-8 has none such.
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 STOP = 255
-#: Grams whose subtrees a task builds at once, unless one pair of bytes has more, and bytes of text that it scores at once.
-FOREST, CHUNK = 400_000, 1 << 24
+#: Grams whose subtrees a task builds at once, unless one pair of bytes has more (some 1.1 KB each), and bytes of text that it scores
+#: at once.
+FOREST, CHUNK = 100_000, 1 << 24
 #: Rows of the table of grams that a lookup holds at once.
 ROWS = 1 << 16
 _LN2 = float(np.log(2))
@@ -140,26 +141,27 @@ def _subtrees(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarr
     byte = keys & 255
     prefix = (1 << level) | (byte[:, None] >> (8 - level))
     bit = (byte[:, None] >> (7 - level)) & 1
-    depths = []
-    for d in range(2, DEPTH + 1):
+    q = parent = lw = None
+    for d in range(DEPTH, 1, -1):  # one depth is held at a time: they are what takes memory
         ids = ((keys >> 8) & ((1 << (8 * d)) - 1))[:, None] << 8 | prefix
         names, at = np.unique(ids.ravel(), return_inverse=True)
-        ones = np.bincount(at, (bit * count[:, None]).ravel(), len(names))
-        depths.append((names, at.reshape(ids.shape), np.bincount(at, np.repeat(count, 8).astype(float), len(names)) - ones, ones))
-    below, shares = None, []
-    for d in range(DEPTH, 1, -1):
-        names, at, zeros, ones = depths[d - 2]
+        del ids
+        at = at.reshape(bit.shape).astype(np.int32)
+        ones = np.bincount(at.ravel(), (bit * count[:, None]).ravel(), len(names))
+        zeros = np.bincount(at.ravel(), np.repeat(count, 8), len(names)) - ones
         seen, own = zeros + ones > 0, _log_kt(zeros, ones)
-        lw, stay = (own, np.ones(len(own))) if d == DEPTH else _weighted(own, below, seen)
-        shares.append((at, seen, stay, (ones + 0.5) / (zeros + ones + 1)))
+        if d == DEPTH:
+            lw, stay = own, np.ones(len(own))
+        else:
+            lw, stay = _weighted(own, np.bincount(np.searchsorted(names, parent), lw, len(names)), seen)
+        one = (ones + 0.5) / (zeros + ones + 1)
         parent = ((names >> 8) & ((1 << (8 * (d - 1))) - 1)) << 8 | names & 255
-        if d > 2:
-            below = np.bincount(np.searchsorted(depths[d - 3][0], parent), lw, len(depths[d - 3][0]))
+        p = np.where(bit == 1, one[at], 1 - one[at])
+        if q is not None:
+            p = np.where(np.isnan(q), p, stay[at] * p + (1 - stay[at]) * q)
+        p[~seen[at]] = np.nan
+        q = p
     top, at = np.unique(parent, return_inverse=True)
-    q = None
-    for at_, seen, stay, one in shares:
-        p = np.where(bit == 1, one[at_], 1 - one[at_])
-        q = np.where(seen[at_], p if q is None else np.where(np.isnan(q), p, stay[at_] * p + (1 - stay[at_]) * q), np.nan)
     return q, top, np.bincount(at, lw, len(top))
 
 

@@ -141,3 +141,20 @@ def test_lookup_holds_few_rows(tmp_path):
         pa.set_memory_pool(before)
     assert np.array_equal(got, np.where(asked % 3 == 0, asked % 1000, 0))
     assert pool.max_memory() < 12 * n / 2
+
+
+def test_subtrees_hold_one_depth(monkeypatch):
+    """What a task builds at once takes less than 200 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    signs = np.frombuffer(b"etaoinshrdlu ,.\nbcfgmpwyvk\xff", np.uint8).astype(np.int64)
+    keys = np.zeros(C.FOREST * 2, np.int64)
+    for _ in range(C.DEPTH + 1):
+        keys = keys << 8 | signs[np.minimum(rng.geometric(0.12, len(keys)) - 1, 26)]
+    keys = np.unique(keys)[: C.FOREST]
+    tracemalloc.start()
+    q, top, sums = C._subtrees(keys, np.ones(len(keys)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(q) == len(keys) and len(top) == len(sums) and most < 200e6
