@@ -1,12 +1,23 @@
-"""Whether two texts are within an edit distance, by Myers' bit vectors in Python's integers: a column of the table is an addition
-and a few bit operations, whatever its length, so long lines cost far less than cell by cell."""
+"""Whether two texts are within an edit distance, by Myers' bit vectors: a column of the table is an addition and a few bit operations,
+so long lines cost far less than cell by cell. Many pairs of about one length go through numpy together, a word of 64 rows at a time;
+few pairs, and very long ones, go one by one in Python's integers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
+from palimpsest.llm import words as W
+
+#: Pairs that go together at most, for each word of a column at least, and words of a column at most.
+TOGETHER, WORTH, TALL = 1024, 16, 64
+#: Numbers in the table of a lot's signs, about; a lot of more signs is halved.
+TABLE = 1 << 19
+#: One more than the last code point.
+SIGNS = 0x110000
+
 
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance in code points is at most `most`. What both share at either end is left out, and a column from which
@@ -52,11 +63,101 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+class Texts:
+    """A column of texts by code points; a null is empty."""
+
+    def __init__(self, column: pa.Array):
+        data, off = W.buffers(column)
+        self.signs = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        self.off = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+        self.size = np.diff(self.off)
+
+    def one(self, i: int) -> str:
+        return self.signs[self.off[i] : self.off[i + 1]].tobytes().decode("utf-32-le")
+
+    def padded(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, longest): code points, SIGNS after the end."""
+        out = np.full((len(rows), int(self.size[rows].max())), SIGNS, np.uint32)
+        inside = np.arange(out.shape[1]) < self.size[rows][:, None]
+        at = (self.off[rows][:, None] + np.arange(out.shape[1]))[inside]
+        out[inside] = self.signs[at]
+        return out
+
+
+def _lot(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each row of a is within most edits of that of b; m, n: lengths, all m in one number of words, none 0."""
+    rows, tall, least, u1 = len(m), (int(m.max()) + 63) // 64, int(m.min()), np.uint64(1)
+    seen = np.zeros(SIGNS + 1, bool)
+    seen[a.ravel()] = True
+    seen[SIGNS] = False
+    k = int(seen.sum()) + 1  # the last number is of signs that stand in no pattern
+    if rows * k * tall > TABLE and rows > WORTH:
+        half = [slice(0, rows // 2), slice(rows // 2, rows)]
+        return np.concatenate([_lot(a[x, : m[x].max()], m[x], b[x, : n[x].max()], n[x], most[x]) for x in half])
+    code = np.full(SIGNS + 1, k - 1, np.int32)
+    code[seen] = np.arange(k - 1)
+    base = np.arange(rows) * k
+    table = np.zeros((rows * k, tall), np.uint64)
+    for i, at in enumerate((code[a] + base[:, None]).T.copy()):
+        on = at if i < least else at[m > i]
+        table[on, i >> 6] |= u1 << np.uint64(i & 63)
+    columns = (code[b] + base[:, None]).T.copy()
+    up, down = np.full((tall, rows), ~np.uint64(0)), np.zeros((tall, rows), np.uint64)
+    score, end, alive = m.astype(np.int64), ((m - 1) & 63).astype(np.uint64), np.arange(rows)
+    out = np.zeros(rows, bool)
+    for j in range(columns.shape[0]):
+        eqs = table[columns[j]]
+        plus, minus = np.ones(len(alive), np.uint64), np.zeros(len(alive), np.uint64)
+        for w in range(tall):
+            eq, pv, mv = eqs[:, w], up[w], down[w]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            if w == tall - 1:
+                score += (ph >> end & u1).astype(np.int64) - (mh >> end & u1).astype(np.int64)
+            next_plus, next_minus = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = ph << u1 | plus, mh << u1 | minus
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+            plus, minus = next_plus, next_minus
+        done = n == j + 1
+        if done.any():
+            out[alive[done]] = score[done] <= most[done]
+        if done.any() or j % 16 == 15:
+            go = np.flatnonzero(~done & (score <= most + n - j - 1))  # a later column takes one edit off at most
+            if len(go) == 0:
+                break
+            if len(go) <= 0.9 * len(alive):
+                alive, score, end, n, most = alive[go], score[go], end[go], n[go], most[go]
+                up, down, columns = up[:, go], down[:, go], columns[:, go]
+    return out
+
+
+def near(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the texts i of x and j of y, one by one, differ by at most 100 - percent per cent of the longer one."""
+    m, n = x.size[i], y.size[j]
+    most = np.maximum(m, n) * (100 - percent) // 100
+    out = np.maximum(m, n) <= most
+    left = np.flatnonzero(~out & (np.abs(m - n) <= most) & (np.minimum(m, n) > 0))
+    tall = (m[left] + 63) // 64
+    order = np.lexsort((n[left], tall))
+    left, tall = left[order], tall[order]
+    edges = np.append(np.flatnonzero(np.append(True, tall[1:] != tall[:-1])), len(tall)) if len(tall) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        w = int(tall[a])
+        for at in range(a, b, TOGETHER):
+            pick = left[at : min(b, at + TOGETHER)]
+            if w <= TALL and len(pick) >= WORTH * w:
+                out[pick] = _lot(x.padded(i[pick]), m[pick], y.padded(j[pick]), n[pick], most[pick])
+            else:
+                out[pick] = [within(x.one(p), y.one(q), int(e)) for p, q, e in zip(i[pick], j[pick], most[pick], strict=True)]
+    return out
+
+
 def close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, ta, tb) the (a, b) whose texts differ by at most 100 - percent per cent of the longer one."""
     for batch in batches:
-        for i in range(0, len(batch), 512):  # few texts at a time as Python's strings
-            part = batch.slice(i, 512)
-            texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-            keep = pa.array([within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts], pa.bool_())
-            yield part.select([0, 1]).filter(keep)
+        for i in range(0, len(batch), 2048):  # few texts at a time by code points
+            part = batch.slice(i, 2048)
+            x, y, every = Texts(part.column(2)), Texts(part.column(3)), np.arange(len(part))
+            yield part.select([0, 1]).filter(pa.array(near(x, every, y, every, percent), pa.bool_()))

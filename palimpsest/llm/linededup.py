@@ -7,6 +7,7 @@ so pairs to compare meet in ANCHORS minima of word triples, taken from as many p
 which are rare, and short lines in bands of 4-byte grams too. A pair that has met is dropped if its lengths, or the SimHashes of its word
 pairs, differ too much; the rest is decided by the edit distance alone. Short lines meet by chance, as often as the square of their number:
 their pairs are decided where they meet, by a bound from counts of their letters, then by the distance itself, and leave links only.
+After the rounds of leaders all lines are compared so, in numpy, by parts of buckets.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
-from palimpsest.llm.edits import close
-from palimpsest.llm.links import grouped, membership
+from palimpsest.llm.edits import Texts, close
+from palimpsest.llm.edits import near as alike
+from palimpsest.llm.links import Met, grouped, membership
 from palimpsest.llm.shared import free, scratch, stash
 
 #: Minima of word triples of a line, and (bytes of a gram, minima in a band, bands) that lines of at most SHORT characters have beside.
@@ -319,13 +321,38 @@ def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> Da
         brief = (more(x, y) * 100 <= most) & (more(y, x) * 100 <= most) & (edits >= 0) & (edits * 100 <= most)
         return alike & F.when(longest <= SIFTED, brief).otherwise(apart <= SIFT)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts(asked: DataFrame) -> DataFrame:
         asked = stash(asked.join(nodes, "node").select("node", "first.d", "first.line"), "line-asked")
-        text = stash(_texts(docs, asked, least), "line-texts")
+        return stash(_texts(docs, asked, least), "line-texts")
+
+    def pairs(pairs: DataFrame) -> DataFrame:
+        text = texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         p = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return p.select("a", "b", "ta", "tb").mapInArrow(lambda batches: close(batches, percent), "a long, b long")
 
+    def sift(col: dict[str, pa.Array], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """near(), but for the edits of short lines."""
+        chars, sim = col["chars"].to_numpy(), col["sim"].to_numpy()
+        longest = np.maximum(chars[i], chars[j])
+        most = longest * (100 - percent)
+        keep = np.abs(chars[i] - chars[j]) * 100 <= most
+        apart = np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64))
+        if bits is not None:
+            return keep & (apart <= bits)
+        brief = longest <= SIFTED
+        keep &= brief | (apart <= SIFT)
+        at = np.flatnonzero(keep & brief)
+        w = np.stack([col[c].fill_null(0).to_numpy() for c in BRIEFLY[1:]])
+        x, y = (w[:, k[at]].view(np.uint64) for k in (i, j))
+        keep[at] = np.maximum(np.bitwise_count(x & ~y).sum(axis=0, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=0, dtype=np.int64)) * 100 <= most[at]
+        return keep
+
+    def test(col: dict[str, pa.Array], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        t = Texts(col["whole"].take(pa.array(used)))
+        return alike(t, at[: len(i)], t, at[len(i) :], percent)
+
+    confirm = Met(pairs, lambda asked: texts(asked).withColumnRenamed("text", "whole"), sift, test)
     member = occ.select("node", F.explode("keys").alias("key"))
     label = grouped(member, nodes.select("node", F.struct("chars", "sim", *BRIEFLY).alias("f")), near, confirm, "lines")
     linked = nodes.join(label, "node", "left").select("node", "first", "c", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))

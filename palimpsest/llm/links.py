@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from palimpsest.llm.shared import Shipped, stash
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 #: Leaders of a bucket in each round.
 LEADERS = (1, 8)
+#: Nodes of a part of a bucket, about, and pairs that are sifted at once.
+PART, SIFTING = 128, 1 << 16
 
 
 def _stars(ranked: DataFrame, label: DataFrame | None, features: DataFrame, near: Callable[[Column, Column], Column], leaders: int, seed: int) -> DataFrame:
@@ -33,6 +36,91 @@ def _stars(ranked: DataFrame, label: DataFrame | None, features: DataFrame, near
     return pairs.join(features.select(F.col("node").alias("b"), F.col("f").alias("y")), "b").where(near(F.col("x"), F.col("y"))).select("a", "b")
 
 
+class Met:
+    """A confirm() for grouped() that can also compare nodes where they meet, so that pairs that are no links leave no rows."""
+
+    def __init__(self, pairs: Callable[[DataFrame], DataFrame], full: Callable[[DataFrame], DataFrame], sift: Callable, test: Callable):
+        """pairs: as confirm(). full: from nodes to them and further columns. sift: of the columns of f (by name), a batch's last
+        columns and places i and j in it, whether pairs may be links; test: whether they are."""
+        self.pairs, self.full, self.sift, self.test = pairs, full, sift, test
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        return self.pairs(pairs)
+
+
+def _links(batches: Iterator[pa.RecordBatch], sift: Callable, test: Callable) -> Iterator[pa.RecordBatch]:
+    """(a, b) that are links, of rows (key, lo, hi, part, node, root, keys, ...) that come by key, lo and hi."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        group = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        starts = (np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()
+        if held and [held[-1].column(k)[len(held[-1]) - 1].as_py() for k in range(3)] != group[:, 0].tolist():
+            starts = [0, *starts]
+        if not starts:
+            held.append(batch)
+            continue
+        cut = starts[-1]  # the last group may go on
+        yield from _compared([*held, batch.slice(0, cut)], sift, test)
+        held = [batch.slice(cut)]
+    if held:
+        yield from _compared(held, sift, test)
+
+
+def _compared(batches: list[pa.RecordBatch], sift: Callable, test: Callable) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(batches).combine_chunks()
+    if not len(t):
+        return
+    rows = t.to_batches()[0]
+    col = {name: rows.column(name) for name in rows.schema.names}
+    key, lo, hi, part, node, root = (col[c].to_numpy() for c in ("key", "lo", "hi", "part", "node", "root"))
+    own = pc.list_value_length(col["keys"]).to_numpy(zero_copy_only=False)
+    keys = np.zeros((len(node), max(1, int(own.max()))), np.int64)
+    inside = np.arange(keys.shape[1]) < own[:, None]
+    keys[inside] = col["keys"].flatten().to_numpy()
+    new = np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    first = np.flatnonzero(new)
+    after = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key)))) - np.arange(len(key)) - 1
+    done = np.cumsum(after)
+    a = 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + SIFTING, "right")))
+        i = np.repeat(np.arange(a, b), after[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b])
+        a = b
+        keep = (root[i] != root[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+        i, j = i[keep], j[keep]
+        keep = sift(col, i, j)
+        i, j = i[keep], j[keep]
+        once = np.zeros(len(i), bool)
+        for x in range(0, len(i), 4096):  # only under the least key that both have
+            p, q = i[x : x + 4096], j[x : x + 4096]
+            both = (keys[p][:, :, None] == keys[q][:, None, :]) & inside[p][:, :, None] & inside[q][:, None, :]
+            once[x : x + 4096] = np.where(both.any(axis=2), keys[p], (1 << 63) - 1).min(axis=1) == key[p]
+        i, j = i[once], j[once]
+        if len(i):
+            linked = test(col, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[linked]]), pa.array(node[j[linked]])], ["a", "b"])
+
+
+def _met(member: DataFrame, label: DataFrame, features: DataFrame, confirm: Met, name: str) -> DataFrame:
+    """(a, b): the links of nodes of one bucket and different components. A bucket is cut by a hash into parts of about PART nodes; a
+    task compares the nodes of two parts, so a large bucket is dealt over many tasks and its rows grow with the number of its parts."""
+    sift, test = confirm.sift, confirm.test
+    within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    mine = within.join(mixed, "key").groupBy("node").agg(F.max("root").alias("root"), F.collect_list(F.struct("key", "parts")).alias("in"))
+    mine = stash(mine, f"{name}-mixed")
+    item = mine.join(features, "node").join(confirm.full(mine.select("node")), "node").withColumn("keys", F.col("in.key"))
+    more = [F.col(f"f.{c}") for c in features.schema["f"].dataType.names] + [F.col(c) for c in item.columns if c not in ("node", "root", "in", "f", "keys")]
+    item = item.withColumn("at", F.explode("in")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("at.parts")).cast("int"))
+    item = item.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1)))
+    item = item.select(F.col("at.key").alias("key"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "root", "keys", *more)
+    return item.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _links(batches, sift, test), "a long, b long")
+
+
 def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, held: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None, keys: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of nodes over confirmed links: (node, root) of the nodes that have a link.
 
@@ -44,7 +132,7 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
 
     held: a function from nodes to (node, full), and the test of two such values. The last comparison then makes that test where it
     meets the nodes, and gives out links alone: a large group whose members are alike, but not enough, would leave pairs by the
-    square of its size to confirm. keys: (node, g), g holding all keys of a node, and the first key that two such values share,
+    square of its size to confirm. A Met as confirm() does so in numpy, by parts of buckets. keys: (node, g), g holding all keys of a node, and the first key that two such values share,
     so that two nodes that meet often are compared once.
     """
     shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "c")
@@ -57,6 +145,8 @@ def grouped(member: DataFrame, features: DataFrame, near: Callable[[Column, Colu
         links = stash(confirm(pairs), f"{name}-links")
         known = links if label is None else links.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
         label = stash(components(known), f"{name}-joined")
+    if isinstance(confirm, Met):
+        return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stash(_met(member, label, features, confirm, name), f"{name}-links")))
     within = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     within = within.join(mixed, "key").join(features, "node")

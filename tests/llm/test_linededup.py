@@ -214,3 +214,54 @@ def test_short_lines_that_meet_leave_no_pairs(spark, monkeypatch):
     n = {norm_: {i for i, x in enumerate(lines) if " ".join(norm(x)) == norm_} for norm_ in {" ".join(norm(x)) for x in lines}}
     links = sum(within(a, b, max(len(a), len(b)) // 5) for a in n for b in n if a < b)
     assert 0 < len(set(told)) <= links and set(range(300, 320)) <= gone
+
+
+def test_many_pairs_at_once_equal_one_by_one():
+    from palimpsest.llm.edits import Texts, near
+
+    r = random.Random(4)
+    a, b = [], []
+    for _ in range(600):
+        x = "".join(r.choice("abcdé😀 ") for _ in range(r.choice([0, 1, 64, 65, 128, 190])))
+        y = list(x)
+        for _ in range(r.randrange(0, len(x) // 3 + 2)):
+            p = r.randrange(len(y) + 1)
+            y[p : p + r.randrange(2)] = r.choice(["", "x", "yé"])
+        a.append(x)
+        b.append("".join(y))
+    at = np.arange(len(a))
+    want = [within(x, y, max(len(x), len(y)) // 5) for x, y in zip(a, b, strict=True)]
+    assert near(Texts(pa.array(a)), at, Texts(pa.array(b)), at, 80).tolist() == want and 100 < sum(want) < 500
+
+
+def test_long_lines_that_are_alike_but_not_enough_leave_no_pairs(spark, monkeypatch):
+    """Of a large group whose lines are all about 30 % apart, pairs with leaders alone are left to confirm; links within it are found."""
+    from palimpsest.llm import links
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    base, lines = rng.sample(words, 40), []
+    for _ in range(200):
+        w = base.copy()
+        for i in rng.sample(range(4, 40), 8):
+            w[i] = rng.choice(words)
+        lines.append(" ".join(w))
+    lines += [x[:-1] + "z" for x in lines[:10]]
+    told, real = [], links.Met.__call__
+
+    def seen(self, pairs):
+        told.append(pairs.count())
+        return real(self, pairs)
+
+    monkeypatch.setattr(links.Met, "__call__", seen)
+    monkeypatch.setattr(links, "PART", 16)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in L.removals(docs, least=0, bits=None).collect()}
+    assert len(told) == len(links.LEADERS) and sum(told) <= 14 * len(lines) * sum(links.LEADERS) and gone >= set(range(200, 210))
+    root = list(range(len(lines)))
+    for j in range(len(lines)):
+        for i in range(j):
+            if within(lines[i], lines[j], max(len(lines[i]), len(lines[j])) // 5):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert gone <= {i for i in range(len(lines)) if root[i] != i}
