@@ -30,6 +30,8 @@ DISTANCE = 3
 #: Bits in which SimHashes of word pairs may differ for a pair to be compared, where one of its lines has more than SIFTED characters;
 #: other pairs carry their texts and letters.
 SIFT, SIFTED = 20, 64
+#: Numbers of 64 bits in the filter of the documents that lose lines.
+CELLS = 1 << 18
 #: Columns of the short lines alone.
 BRIEFLY = ("text", "w0", "w1", "w2", "w3")
 
@@ -362,11 +364,32 @@ def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> Da
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _cell(spot: Column) -> Column:
+    return F.shiftrightunsigned(spot, 6).bitwiseAND(F.lit(CELLS - 1))
+
+
+def _bit(spot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _filter(ids: DataFrame, cell: str, set_: str) -> DataFrame:
+    """(cell, set): CELLS numbers at most, whose bits tell which ids may be among these; sometimes yes wrongly, never no wrongly."""
+    spot = F.xxhash64(ids.columns[0])
+    return ids.groupBy(_cell(spot).alias(cell)).agg(F.bit_or(_bit(spot)).alias(set_))
+
+
 def _cut(docs: DataFrame, least: int, percent: int, bits: int | None) -> tuple[DataFrame, Column, Column]:
-    """docs with the numbers of the lines to remove, that column, and the text without them."""
-    key, gone = free(docs, "gone_id", "gone_lines")
+    """docs with the numbers of the lines to remove, that column, and the text without them. Documents that a filter of the ids knows to lose
+    nothing are not joined, so their texts stay where they are read."""
+    key, gone, cell, set_ = free(docs, "gone_id", "gone_lines", "gone_cell", "gone_bits")
     lines = removals(docs, least=least, percent=percent, bits=bits).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
-    joined = docs.join(lines, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    maybe = F.broadcast(_filter(lines.select(key), cell, set_))
+    spot = F.xxhash64(F.col("doc_id").cast("long"))
+    told = docs.join(maybe, _cell(spot) == F.col(cell), "left").withColumn(set_, F.coalesce(F.col(set_).bitwiseAND(_bit(spot)) != 0, F.lit(False)))
+    cut = told.where(F.col(set_)).join(lines, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    whole = told.where(~F.col(set_)).withColumn(gone, F.lit(None).cast(lines.schema[gone].dataType))
+    columns = [F.col(f"`{c}`") for c in (*docs.columns, gone)]
+    joined = cut.select(*columns).union(whole.select(*columns))  # only texts that are cut, and few others, are shuffled
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
     return joined, F.col(gone), F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 

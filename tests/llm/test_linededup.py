@@ -265,3 +265,14 @@ def test_long_lines_that_are_alike_but_not_enough_leave_no_pairs(spark, monkeypa
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     assert gone <= {i for i in range(len(lines)) if root[i] != i}
+
+
+def test_texts_that_lose_nothing_are_not_joined(spark):
+    """The filter tells all that lose lines, null ids too, and few others."""
+    docs = spark.createDataFrame([(i, f"line {i} of its own, number {i * i}") for i in range(300)] + [(1000, "twice here\nonce"), (1001, "twice here"), (None, "twice here\nx")], "doc_id long, text string")
+    joined, gone, _ = L._cut(docs, 0, 80, None)
+    got = {r.doc_id for r in joined.where(gone.isNotNull()).collect()}
+    assert {1001, None} <= got and joined.count() == 303
+    ids = spark.createDataFrame([(1001,), (None,)], "doc_id long")
+    kept = docs.join(L._filter(ids, "cell", "bits"), L._cell(L.F.xxhash64("doc_id")) == L.F.col("cell")).where(L.F.col("bits").bitwiseAND(L._bit(L.F.xxhash64("doc_id"))) != 0)
+    assert {1001, None} <= {r.doc_id for r in kept.collect()} and kept.count() <= 12
