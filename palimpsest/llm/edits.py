@@ -1,6 +1,6 @@
 """Whether two texts are within an edit distance, by Myers' bit vectors: a column of the table is an addition and a few bit operations,
 so long lines cost far less than cell by cell. Many pairs of about one length go through numpy together, a word of 64 rows at a time;
-few pairs, and very long ones, go one by one in Python's integers."""
+few pairs go side by side in one of Python's integers, very long ones one by one."""
 
 from __future__ import annotations
 
@@ -13,17 +13,16 @@ from palimpsest.llm import words as W
 
 #: Pairs that go together at most, for each word of a column at least, and words of a column at most.
 TOGETHER, WORTH, TALL = 1024, 16, 64
+#: Bytes of the integers in which pairs go side by side.
+WIDE = 2048
 #: Numbers in the table of a lot's signs, about; a lot of more signs is halved.
 TABLE = 1 << 19
 #: One more than the last code point.
 SIGNS = 0x110000
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance in code points is at most `most`. What both share at either end is left out, and a column from which
-    the bound can no longer be kept ends the search."""
-    if abs(len(a) - len(b)) > most:
-        return False
+def _differing(a: str, b: str) -> tuple[str, str]:
+    """Both without what they share at either end."""
     i, n = 0, min(len(a), len(b))
     while i + 64 <= n and a[i : i + 64] == b[i : i + 64]:
         i += 64
@@ -34,7 +33,15 @@ def within(a: str, b: str, most: int) -> bool:
         j += 64
     while j < n and a[-1 - j] == b[-1 - j]:
         j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    return a[i : len(a) - j], b[i : len(b) - j]
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance in code points is at most `most`. What both share at either end is left out, and a column from which
+    the bound can no longer be kept ends the search."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _differing(a, b)
     if not a or not b:
         return len(a) + len(b) <= most
     at: dict[str, int] = {}
@@ -133,6 +140,88 @@ def _lot(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: np.nd
     return out
 
 
+def _side_by_side(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each of a is within most edits of that of b."""
+    out = np.zeros(len(a), bool)
+    pairs = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = _differing(x, y)
+        if not x or not y:
+            out[k] = len(x) + len(y) <= most[k]
+        elif len(x) > 8 * WIDE:
+            out[k] = within(x, y, int(most[k]))
+        else:
+            pairs.append((len(y), k, x, y))
+    pairs.sort(key=lambda p: p[:2])
+    at = 0
+    while at < len(pairs):
+        end, wide = at, 0
+        while end < len(pairs) and (end == at or wide + len(pairs[end][2]) // 8 + 1 <= WIDE):
+            wide += len(pairs[end][2]) // 8 + 1
+            end += 1
+        lot = pairs[at:end]
+        out[[k for _, k, _, _ in lot]] = _lanes([x for _, _, x, _ in lot], [y for _, _, _, y in lot], [int(most[k]) for _, k, _, _ in lot])
+        at = end
+    return out
+
+
+def _lanes(a: list[str], b: list[str], most: list[int]) -> list[bool]:
+    """As _lot(), of pairs by the length of b: each has a lane of whole bytes with a bit at least above its rows, where sums end."""
+    size, n = [len(x) for x in a], [len(y) for y in b]
+    wide = [m // 8 + 1 for m in size]
+    at = np.append(0, np.cumsum(wide)).tolist()
+    eqs = np.zeros((n[-1], at[-1]), np.uint8)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        p, q = (np.frombuffer(z.encode("utf-32-le"), np.uint32) for z in (x, y))
+        signs = np.unique(p)
+        rows = np.zeros((len(signs) + 1, 8 * wide[k]), bool)
+        rows[np.searchsorted(signs, p), np.arange(len(p))] = True
+        code = np.minimum(np.searchsorted(signs, q), len(signs) - 1)
+        eqs[: len(q), at[k] : at[k + 1]] = np.packbits(rows, axis=1, bitorder="little")[np.where(signs[code] == q, code, len(signs))]
+    out, lanes, j = [False] * len(a), list(range(len(a))), 0
+
+    def masks() -> tuple[int, int, int]:
+        full = b"".join(((1 << size[k]) - 1).to_bytes(wide[k], "little") for k in lanes)
+        return len(full), int.from_bytes(full, "little"), int.from_bytes(b"".join((1).to_bytes(wide[k], "little") for k in lanes), "little")
+
+    width, full, low = masks()
+    every, up, down = (1 << 8 * width) - 1, full, 0
+    buf, begun, done = eqs.tobytes(), 0, 0
+    while done < len(lanes):
+        stop = min(n[lanes[done]], j + 48)
+        for c in range((j - begun) * width, (stop - begun) * width, width):
+            eq = int.from_bytes(buf[c : c + width], "little")
+            xh = (((eq & up) + up) ^ up) | eq
+            xv = eq | down
+            ph = ((down | every ^ ((xh | up) & every)) & full) << 1 | low
+            up, down = (((up & xh) << 1) | every ^ ((xv | ph) & every)) & full, ph & xv & full
+        j = stop
+        ups, downs = (np.frombuffer(v.to_bytes(width, "little"), np.uint8) for v in (up, down))
+        edges = np.append(0, np.cumsum([wide[k] for k in lanes]))
+        net = np.add.reduceat(np.bitwise_count(ups).astype(np.int64) - np.bitwise_count(downs), edges[:-1])
+        go = []
+        for r, k in enumerate(lanes):
+            score = j + int(net[r])
+            if r < done or n[k] < j:
+                continue
+            if n[k] == j:
+                out[k] = score <= most[k]
+            elif score <= most[k] + n[k] - j:  # a later column takes one edit off at most
+                go.append(r)
+        if sum(wide[lanes[r]] for r in go) <= 0.7 * width:
+            cols = np.concatenate([np.arange(edges[r], edges[r + 1]) for r in go]) if go else np.zeros(0, np.int64)
+            eqs, begun = eqs[j - begun :, cols], j
+            lanes, done = [lanes[r] for r in go], 0
+            if lanes:
+                width, full, low = masks()
+                every, buf = (1 << 8 * width) - 1, eqs.tobytes()
+                up, down = (int.from_bytes(v[cols].tobytes(), "little") for v in (ups, downs))
+        else:
+            while done < len(lanes) and n[lanes[done]] <= j:
+                done += 1
+    return out
+
+
 def near(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether the texts i of x and j of y, one by one, differ by at most 100 - percent per cent of the longer one."""
     m, n = x.size[i], y.size[j]
@@ -143,6 +232,7 @@ def near(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, percent: int) -> np.n
     order = np.lexsort((n[left], tall))
     left, tall = left[order], tall[order]
     edges = np.append(np.flatnonzero(np.append(True, tall[1:] != tall[:-1])), len(tall)) if len(tall) else np.zeros(1, np.int64)
+    few: list[np.ndarray] = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         w = int(tall[a])
         for at in range(a, b, TOGETHER):
@@ -150,7 +240,10 @@ def near(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, percent: int) -> np.n
             if w <= TALL and len(pick) >= WORTH * w:
                 out[pick] = _lot(x.padded(i[pick]), m[pick], y.padded(j[pick]), n[pick], most[pick])
             else:
-                out[pick] = [within(x.one(p), y.one(q), int(e)) for p, q, e in zip(i[pick], j[pick], most[pick], strict=True)]
+                few.append(pick)
+    if few:
+        pick = np.concatenate(few)
+        out[pick] = _side_by_side([x.one(p) for p in i[pick]], [y.one(q) for q in j[pick]], most[pick])
     return out
 
 

@@ -7,7 +7,8 @@ so pairs to compare meet in ANCHORS minima of word triples, taken from as many p
 which are rare, and short lines in bands of 4-byte grams too. A pair that has met is dropped if its lengths, or the SimHashes of its word
 pairs, differ too much; the rest is decided by the edit distance alone. Short lines meet by chance, as often as the square of their number:
 their pairs are decided where they meet, by a bound from counts of their letters, then by the distance itself, and leave links only.
-After the rounds of leaders all lines are compared so, in numpy, by parts of buckets.
+After the rounds of leaders all lines are compared so, in numpy, by parts of buckets; of lines that meet, those go before that whose lengths or
+SimHashes leave them no partner, and pairs that links join already are not measured.
 """
 
 from __future__ import annotations
@@ -324,7 +325,7 @@ def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> Da
         return alike & F.when(longest <= SIFTED, brief).otherwise(apart <= SIFT)
 
     def texts(asked: DataFrame) -> DataFrame:
-        asked = stash(asked.join(nodes, "node").select("node", "first.d", "first.line"), "line-asked")
+        asked = stash(asked.join(known, "node").select("node", "first.d", "first.line"), "line-asked")
         return stash(_texts(docs, asked, least), "line-texts")
 
     def pairs(pairs: DataFrame) -> DataFrame:
@@ -332,31 +333,41 @@ def _removals(docs: DataFrame, least: int, percent: int, bits: int | None) -> Da
         p = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return p.select("a", "b", "ta", "tb").mapInArrow(lambda batches: close(batches, percent), "a long, b long")
 
-    def sift(col: dict[str, pa.Array], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """near(), but for the edits of short lines."""
-        chars, sim = col["chars"].to_numpy(), col["sim"].to_numpy()
+    def told(chars: np.ndarray, sim: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """near(), but for the letters and edits of short lines; the bits of difference, and the characters of the longer lines."""
         longest = np.maximum(chars[i], chars[j])
-        most = longest * (100 - percent)
-        keep = np.abs(chars[i] - chars[j]) * 100 <= most
-        apart = np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64))
+        keep = np.abs(chars[i] - chars[j]) * 100 <= longest * (100 - percent)
+        apart = np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64)).astype(np.int64)
+        return keep & (apart <= bits if bits is not None else (longest <= SIFTED) | (apart <= SIFT)), apart, longest
+
+    def sift(col: dict[str, pa.Array], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        keep, apart, longest = told(col["chars"].to_numpy(), col["sim"].to_numpy(), i, j)
         if bits is not None:
-            return keep & (apart <= bits)
-        brief = longest <= SIFTED
-        keep &= brief | (apart <= SIFT)
+            return np.where(keep, apart, -1)
+        brief, most = longest <= SIFTED, longest * (100 - percent)
         at = np.flatnonzero(keep & brief)
         w = np.stack([col[c].fill_null(0).to_numpy() for c in BRIEFLY[1:]])
         x, y = (w[:, k[at]].view(np.uint64) for k in (i, j))
         keep[at] = np.maximum(np.bitwise_count(x & ~y).sum(axis=0, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=0, dtype=np.int64)) * 100 <= most[at]
-        return keep
+        return np.where(keep, apart, -1)
 
     def test(col: dict[str, pa.Array], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         t = Texts(col["whole"].take(pa.array(used)))
         return alike(t, at[: len(i)], t, at[len(i) :], percent)
 
-    confirm = Met(pairs, lambda asked: texts(asked).withColumnRenamed("text", "whole"), sift, test)
-    member = occ.select("node", F.explode("keys").alias("key"))
-    label = grouped(member, nodes.select("node", F.struct("chars", "sim", *BRIEFLY).alias("f")), near, confirm, "lines")
+    def features() -> DataFrame:
+        return known.select("node", F.struct("chars", "sim", *BRIEFLY).alias("f"))
+
+    def narrow(met: DataFrame) -> DataFrame:
+        nonlocal known
+        known = stash(nodes.join(met, "node", "left_semi"), "line-known")
+        return features()
+
+    known = nodes
+    lists = occ.where("keys IS NOT NULL").select("node", "keys", "chars", "sim")
+    confirm = Met(pairs, lambda asked: texts(asked).withColumnRenamed("text", "whole"), sift, test, lists, lambda col, i, j: told(col["chars"], col["sim"], i, j)[0], narrow)
+    label = grouped(occ.select("node", F.explode("keys").alias("key")), features(), near, confirm, "lines")
     linked = nodes.join(label, "node", "left").select("node", "first", "c", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     firsts = linked.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
     keep = linked.where("c > 1 OR fuzzy").join(firsts, "root", "left").select("node", F.coalesce("keep", "first").alias("keep"))

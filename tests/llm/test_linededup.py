@@ -276,3 +276,59 @@ def test_texts_that_lose_nothing_are_not_joined(spark):
     ids = spark.createDataFrame([(1001,), (None,)], "doc_id long")
     kept = docs.join(L._filter(ids, "cell", "bits"), L._cell(L.F.xxhash64("doc_id")) == L.F.col("cell")).where(L.F.col("bits").bitwiseAND(L._bit(L.F.xxhash64("doc_id"))) != 0)
     assert {1001, None} <= {r.doc_id for r in kept.collect()} and kept.count() <= 12
+
+
+def test_few_pairs_side_by_side_equal_one_by_one():
+    from palimpsest.llm import edits
+
+    r, a, b = random.Random(6), [], []
+    for n in [0, 1, 7, 8, 9, 63, 64, 65, 200, 700] * 12:
+        x = "".join(r.choice("abcdefé😀 ") for _ in range(n))
+        y = list(x)
+        for _ in range(r.randrange(0, len(x) // 2 + 2)):
+            p = r.randrange(len(y) + 1)
+            y[p : p + r.randrange(2)] = r.choice(["", "x", "yé"])
+        a.append(x)
+        b.append("".join(y))
+    most = np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)])
+    want = [within(x, y, int(m)) for x, y, m in zip(a, b, most, strict=True)]
+    assert edits._side_by_side(a, b, most).tolist() == want and 20 < sum(want) < 110
+
+
+def test_pairs_joined_already_are_not_tested():
+    """80 places in four groups, all pairs of which are links: far fewer tests than pairs, the same components."""
+    from palimpsest.llm import links
+
+    i, j = np.triu_indices(80, 1)
+    told = []
+
+    def test(p, q):
+        told.extend(zip(p.tolist(), q.tolist(), strict=True))
+        return p % 4 == q % 4
+
+    close = i % 4 == j % 4
+    team = np.arange(80)
+    found = [x for x in links._joining(i[close], j[close], np.random.default_rng(1).integers(0, 20, int(close.sum())), team, test)]
+    assert len(told) < 400 < int(close.sum()) and all((p % 4 == q % 4).all() for p, q in found) and len(set(team.tolist())) == 4
+    told.clear()
+    list(links._joining(i, j, np.zeros(len(i), int), np.arange(80), test))
+    assert {(p, q) for p, q in told if p % 4 != q % 4} and len(told) == len(set(told))
+
+
+def test_nodes_that_can_be_linked_with_none_leave_the_buckets(spark, monkeypatch):
+    from palimpsest.llm import links
+    from palimpsest.llm.shared import scratch
+
+    rows = [(k, [k % 50, 1000 + k // 3], k * 10) for k in range(-100, 200)] * 2 + [(500, [7], 5), (501, None, 5)]
+    lists = spark.createDataFrame(rows, "node long, keys array<long>, chars long").where("keys IS NOT NULL")
+    for part in (2, 100):
+        monkeypatch.setattr(links, "PART", part)
+        bucket, want = {}, set()
+        for node, keys, chars in rows:
+            for key in keys or []:
+                bucket.setdefault(key, {})[node] = chars
+        for key, x in bucket.items():
+            want |= {(key, n, len(x)) for n, c in x.items() if len(x) > 1 and (len(x) > part or any(m != n and abs(c - d) <= 10 for m, d in x.items()))}
+        with scratch(spark):
+            got = {tuple(r) for r in links._meeting(lists, lambda col, i, j: abs(col["chars"][i] - col["chars"][j]) <= 10, "test").collect()}
+        assert got == want and want
