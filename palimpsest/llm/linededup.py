@@ -262,11 +262,7 @@ def _texts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """(node, text) of the lines asked for, normalised; asked: (node, d, line), d the id or _LAST. A filter of their places picks the
     lines, so that the other ones are not read word by word and no document is shuffled."""
 
-    def places(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_spot(*(batch.column(i).to_numpy() for i in (0, 1))))], ["place"])
-
-    wanted = membership(asked.select("d", "line").mapInArrow(places, "place long"), asked.count())
+    wanted = membership(asked.select("d", "line"), asked.count(), _spot)
 
     def run(batches):
         for batch in batches:

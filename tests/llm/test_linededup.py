@@ -332,3 +332,13 @@ def test_nodes_that_can_be_linked_with_none_leave_the_buckets(spark, monkeypatch
         with scratch(spark):
             got = {tuple(r) for r in links._meeting(lists, lambda col, i, j: abs(col["chars"][i] - col["chars"][j]) <= 10, "test").collect()}
         assert got == want and want
+
+
+def test_filter_of_lines_takes_one_worker(spark, monkeypatch):
+    """Each Python function that reads another's rows takes a further worker in every task."""
+    real, plans = L.membership, []
+    monkeypatch.setattr(L, "membership", lambda ids, *how: plans.append(ids._jdf.queryExecution().toString()) or real(ids, *how))
+    docs = spark.createDataFrame([(1, "one line of words here\nother"), (None, "x\none line of words here")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, 1, 0), (1, (1 << 63) - 1, 1)], "node long, d long, line long")
+    L._texts(docs, asked, 0).collect()
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
